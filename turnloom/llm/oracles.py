@@ -27,5 +27,50 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP3 = rf"""
+WITH words AS (
+  SELECT doc_id, t.i AS pos, t.w AS word
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_PLAIN}') AS ws FROM documents) d,
+       LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) t
+),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_PLAIN}') AS ws FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, array_to_string(ws[k.k : k.k + 9], ' ') AS seq, least(len(ws), 10) AS n
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k) k WHERE len(ws) > 0
+),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT a.doc_id, a.pos, l.n, string_agg(b.word, ' ' ORDER BY b.pos) AS seq
+  FROM words a CROSS JOIN lengths l JOIN words b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + l.n - 1
+  GROUP BY a.doc_id, a.pos, l.n HAVING count(*) = l.n
+),
+found AS (SELECT d.doc_id, d.pos, d.n, i.item_id FROM doc_windows d JOIN item_windows i ON d.n = i.n AND d.seq = i.seq),
+hit AS (SELECT doc_id, count(DISTINCT pos + k.k) AS n_hit FROM found, LATERAL (SELECT unnest(range(n)) AS k) k GROUP BY doc_id),
+leaks AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) f GROUP BY doc_id
+),
+sizes AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN leaks l ON d.doc_id = l.doc_id
+"""
+
+OP4 = rf"""
+WITH lines AS (
+  SELECT doc_id, t.i AS pos, t.line, translate(trim(t.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+       LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i) t
+),
+frequent AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.key) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN frequent f ON l.key = f.key GROUP BY l.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1}
+    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4}

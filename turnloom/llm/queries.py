@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import substrings
+from turnloom.llm import decontaminate, lines, substrings
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_docs(spark, sf_dir), keep_text=False).drop("kept_text")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items", "spans")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_frequent_lines(_docs(spark, sf_dir), keep_text=False).drop("kept_text")
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    """Query by name, op1 to op10."""
+    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
