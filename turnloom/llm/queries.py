@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, lines, substrings
+from turnloom.llm import decontaminate, lines, substrings, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +25,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_frequent_lines(_docs(spark, sf_dir), keep_text=False).drop("kept_text")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     """Query by name, op1 to op10."""
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
