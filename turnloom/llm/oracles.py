@@ -72,5 +72,58 @@ FROM lines l LEFT JOIN frequent f ON l.key = f.key GROUP BY l.doc_id
 """
 
 
+def _drawn(what: str, value: str) -> str:
+    return f"CAST('0x' || substr(md5('{what}:17:' || CAST({value} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
+OP8 = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source IS NULL, source) AS place
+  FROM sized GROUP BY source
+),
+weighed AS (
+  SELECT *, CAST(CASE place % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS most FROM sources
+),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM weighed WINDOW b AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+fill AS (SELECT level FROM levels WHERE most > weight * level ORDER BY most / weight, level LIMIT 1),
+aims AS (SELECT source, source_size, docs, least(most, coalesce(weight * (SELECT level FROM fill), most)) AS target FROM levels),
+blocks AS (SELECT CAST(floor(sum(target) / 32 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS n FROM aims),
+seats AS (
+  SELECT source, k, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source IS NULL, source, k) AS place
+  FROM aims, LATERAL (SELECT unnest(range(1, CAST((SELECT n FROM blocks) + 1 AS BIGINT))) AS k) q WHERE target > 0
+),
+won AS (SELECT source, count(*) AS blocks FROM seats WHERE place <= (SELECT n FROM blocks) GROUP BY source),
+placed AS (
+  SELECT s.doc_id, s.source, s.size, a.source_size, a.target, coalesce(w.blocks, 0) AS blocks, {_drawn("shard", "coalesce(s.doc_id, -1)")} % CAST(ceil(a.docs / 1024.0) AS BIGINT) AS shard
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN won w ON s.source IS NOT DISTINCT FROM w.source
+),
+parts AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, min(blocks) AS blocks FROM placed GROUP BY source, shard),
+part_seats AS (
+  SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY CAST(words AS DOUBLE) / (2 * k - 1) DESC, shard, k) AS place
+  FROM parts, LATERAL (SELECT unnest(range(1, blocks + 1)) AS k) q WHERE words > 0
+),
+part_won AS (SELECT source, shard, count(*) AS quota FROM part_seats WHERE place <= blocks GROUP BY source, shard),
+stream AS (
+  SELECT p.*, least(coalesce(w.quota, 0), 2 * CAST(ceil(q.words / 32.0) AS BIGINT)) AS quota, CAST(ceil(q.words / 32.0) AS BIGINT) AS n,
+         CAST(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY {_drawn("order", "p.doc_id")}, p.doc_id, p.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS last
+  FROM placed p JOIN parts q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
+  LEFT JOIN part_won w ON p.source IS NOT DISTINCT FROM w.source AND p.shard = w.shard
+),
+dealt AS (
+  SELECT *, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS once, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS rest, CASE WHEN n > 0 THEN {_drawn("offset", "shard")} % n ELSE 0 END AS off FROM stream
+),
+edges AS (
+  SELECT *, CASE WHEN n > 0 THEN 32 * ((last // 32 * rest + off) // n) + last % 32 * (((last // 32 + 1) * rest + off) // n - (last // 32 * rest + off) // n) ELSE 0 END AS upto,
+    CASE WHEN n > 0 THEN 32 * (((last - size) // 32 * rest + off) // n) + (last - size) % 32 * ((((last - size) // 32 + 1) * rest + off) // n - ((last - size) // 32 * rest + off) // n) ELSE 0 END AS before
+  FROM dealt
+)
+SELECT doc_id, size, source_size, target, CAST(size * once + upto - before AS BIGINT) AS taken FROM edges
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4}
+    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op8_source_mixing": OP8}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, lines, substrings, tokens
+from turnloom.llm import decontaminate, lines, mixing, substrings, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +25,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_frequent_lines(_docs(spark, sf_dir), keep_text=False).drop("kept_text")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir)).drop("source")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
     """Query by name, op1 to op10."""
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op8_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
