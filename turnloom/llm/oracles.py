@@ -125,5 +125,55 @@ SELECT doc_id, size, source_size, target, CAST(size * once + upto - before AS BI
 """
 
 
+_SHARES = "[900, 700, 500, 400, 300, 200, 150, 100, 80, 60, 40, 30, 20, 10, 5, 0]"
+_LENGTHS = "[40000, 30000, 20000, 15000, 12000, 10000, 9000, 8000, 7000, 6000]"
+
+
+def _permille(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN {a} * 1000 // {b} ELSE 0 END"
+
+
+_VALUES = {"symbols": _permille("n_symbols", "word_chars"), "duplicate_lines": _permille("n_dup_lines", "n_lines"), "repeated_words": _permille("n_repeat_words", "n_words"), "exclamations": _permille("n_exclaims", "word_chars"), "word_length": _permille("word_chars", "n_words")}
+
+OP6 = rf"""
+WITH {_WORDS.strip()},
+windows AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER w AS seq, count(*) OVER w AS n
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+),
+twice AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, seq) AS times FROM windows WHERE n = 5) WHERE times > 1),
+repeated AS (SELECT doc_id, count(DISTINCT pos + k.k) AS n FROM twice, (SELECT unnest(range(5)) AS k) k GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+counts AS (
+  SELECT t.doc_id, CAST(coalesce(s.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(s.word_chars, 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_exclaims
+  FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id LEFT JOIN repeated r ON t.doc_id = r.doc_id
+),
+judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN n_words < 100 THEN 0 WHEN n_words < 400 THEN 1 WHEN n_words < 1600 THEN 2 ELSE 3 END AS stratum FROM counts
+),
+rules AS ({" UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{n}' AS rule, {v} AS value, {_LENGTHS if n == 'word_length' else _SHARES} AS grid FROM judged" for n, v in _VALUES.items())}),
+held AS (
+  SELECT stratum, rule, g.i AS step, g.cutoff, count(*) AS n, count(*) FILTER (WHERE value > g.cutoff) AS k
+  FROM rules, LATERAL (SELECT unnest(grid) AS cutoff, generate_subscripts(grid, 1) AS i) g
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL
+),
+tails AS (
+  SELECT stratum, rule, step, cutoff, n, k, CASE WHEN k >= n * 0.01 THEN 1 ELSE
+    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(CAST(0.01 AS DOUBLE)) + (n - i) * ln(CAST(0.99 AS DOUBLE))))) END AS tail
+  FROM held
+),
+walk AS (SELECT *, max(CASE WHEN tail <= 0.05 / 20 THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS failed FROM tails),
+cutoffs AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM walk WHERE failed = 0 GROUP BY stratum, rule),
+rejected AS (SELECT DISTINCT r.doc_id FROM rules r JOIN cutoffs c ON r.stratum = c.stratum AND r.rule = c.rule AND r.value > c.cutoff)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.doc_id IS NULL AS kept
+FROM judged j LEFT JOIN rejected r ON j.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op8_source_mixing": OP8}
+    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op8_source_mixing": OP8}
