@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, lines, mixing, rules, substrings, tokens
+from turnloom.llm import decontaminate, language, lines, mixing, rules, substrings, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_frequent_lines(_docs(spark, sf_dir), keep_text=False).drop("kept_text")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_docs(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("reasons", "n_lines", "n_exclaims")
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query by name, op1 to op10."""
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op6_quality_rules, op8_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op8_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
