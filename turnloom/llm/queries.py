@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, language, lines, mixing, rules, substrings, tokens
+from turnloom.llm import decontaminate, language, lines, mixing, quality, rules, substrings, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("reasons", "n_lines", "n_exclaims")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).drop("source")
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query by name, op1 to op10."""
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op8_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
