@@ -1,0 +1,101 @@
+"""Personal data against the patterns as they are stated, and held-out accuracy of the random field."""
+
+import hashlib
+import random
+import re
+
+from turnloom.llm import personal as P
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def stated(text):
+    def digits(s):
+        return re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        odd, even = d[::-1][::2], d[::-1][1::2]
+        return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
+
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(2)
+    parts = ["a", "b.c", "@", "@@", "x@y.z", ".", "..", "-", "+", "%", "1", "25", "256", "0001", "1.2.3.4", "4111 1111 1111 1111", "4111111111111111", "+1 (115) 555-9688", "+", " ", "  ", "\n", "é", "字", "(", ")", "٣", "com", "_", "4111-1111-1111-1112"]
+    for _ in range(6000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 25)))
+        assert P.base_spans(text) == stated(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000):
+        P.base_spans(text)
+
+
+def test_field_on_sentences_it_has_not_seen():
+    field = P.trained()
+    right = extra = missed = 0
+    for text, truth in P.generated(200, seed=99):
+        got = set(field.decode(text, P.word_list(text)))
+        right += len(got & set(truth))
+        extra += len(got - set(truth))
+        missed += len(set(truth) - got)
+    assert right / (right + extra) > 0.9 and right / (right + missed) > 0.9
+
+
+def test_dynamic_program_finds_the_best_segmentation():
+    field = P.trained()
+    text = "call (555) 123-4567 or 10.0.0.1 now"
+    words = P.word_list(text)
+    ends = field.candidates(text, words)
+
+    def best(j):
+        if j == 0:
+            return 0.0
+        return max([best(j - 1)] + [best(i) + field.score(k, f) for i, f in ends[j] for k in P.KINDS])
+
+    chosen = field.decode(text, words)
+    score = sum(field.score(k, next(f for i2, f in ends[j] if i2 == i)) for k, i, j in chosen)
+    assert abs(score - best(len(words))) < 1e-9
+    assert {k for k, _, _ in chosen} == {"phone", "ip"}
+
+
+def test_rows(spark):
+    text = 'Write to a.b@c.org. token = "64be24439e3e49cf46b2d7c90f3602a3d0b907ff" é +1 (115) 555-9688'
+    rows = [(1, None, "k"), (2, "", "k"), (3, "Plain words only, in 1999 and 3.14.", "k"), (4, text, "k"), (4, text, "k"), (None, text, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = P.find_personal_data(docs).collect()
+    assert len(out) == 6
+    by = {r.doc_id: r for r in out}
+    nothing = hashlib.sha256(b"").hexdigest()
+    for k in (1, 2, 3):
+        assert tuple(by[k])[1:] == (0, 0, 0, 0, nothing, "")
+    phone = text.index("+1")
+    base = f"email:9:18,phone:{phone}:{len(text)}"
+    assert by[4].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    secret = text.index("64be")
+    assert by[4].spans == f"{base},secret:{secret}:{secret + 40}"
+    assert by[None].spans == by[4].spans
+    assert P.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_query_on_whole_table(spark, sf_dir):
+    from turnloom.llm.queries import queries
+
+    out = {r.doc_id: r for r in queries()["op2_personal_data"](spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        base = stated(r.text or "")
+        got = out.pop(r.doc_id)
+        assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == [sum(k == kind for k, _, _ in base) for kind in P.BASE]
+        spelled = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert got.base_sha256 == hashlib.sha256(",".join(spelled).encode()).hexdigest()
+        assert set(spelled) <= set(got.spans.split(",")) | {""}
+    assert not out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, language, lines, mixing, quality, rules, substrings, tokens
+from turnloom.llm import decontaminate, language, lines, mixing, personal, quality, rules, substrings, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_docs(spark, sf_dir), keep_text=False).drop("kept_text")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal_data(_docs(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items", "spans")
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query by name, op1 to op10."""
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_personal_data, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_source_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
