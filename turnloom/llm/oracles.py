@@ -175,5 +175,30 @@ FROM judged j LEFT JOIN rejected r ON j.doc_id = r.doc_id
 """
 
 
+OP9 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, t.i AS pos, t.w AS word, len(ws) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents) d,
+       LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) t
+),
+windows AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER w AS seq, count(*) OVER w AS size, n
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, seq FROM windows WHERE size = 5 OR (n < 5 AND pos = 1)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.seq = b.seq AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS MATERIALIZED (
+  SELECT a, b FROM common c JOIN sizes x ON c.a = x.doc_id JOIN sizes y ON c.b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)
+),
+reach(node, seen) AS (SELECT DISTINCT a, a FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+smallest AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN smallest m ON d.doc_id = m.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op8_source_mixing": OP8}
+    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op8_source_mixing": OP8, "op9_ngram_jaccard": OP9}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import decontaminate, language, lines, mixing, personal, quality, rules, substrings, tokens
+from turnloom.llm import decontaminate, jaccard, language, lines, mixing, personal, quality, rules, substrings, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +45,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).drop("source")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_docs(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
     """Query by name, op1 to op10."""
-    return {f.__name__: f for f in (op1_substring_dedup, op2_personal_data, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_personal_data, op3_decontamination, op4_line_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_source_mixing, op9_ngram_jaccard, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
