@@ -78,6 +78,16 @@ def _scan(blocks, window: int):
     return scan
 
 
+def _clean(blocks, window: int):
+    def clean(batches):
+        built = lru_cache(maxsize=4)(lambda k: automaton(blocks.value[k], window))
+        for batch in batches:
+            hit = [_judge(None, t, (built(k) for k in range(len(blocks.value))))["contaminated"] for t in batch.column("text")]
+            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+    return clean
+
+
 def _judge(doc_id, text, automata) -> dict:
     raw = text.as_py().encode("utf-8", "replace") if text.is_valid else b""
     words = words_of(raw)
@@ -125,3 +135,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     sent = docs.sparkSession.sparkContext.broadcast(blocks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(sent, window), OUT)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of a benchmark item; see ``find_leaks``."""
+    blocks = item_blocks(((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()), block_chars)
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(blocks), window), docs.schema)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from turnloom.llm import exchange as X
 from turnloom.llm import textbytes as B
@@ -118,8 +119,12 @@ def _mark(min_docs: int, fanout: int):
     return mark
 
 
-def _rewrite(buckets: int, min_chars: int, keep_text: bool):
+def _rewrite(buckets: int, min_chars: int, keep_text: bool, carry: pa.Schema):
+    schema = pa.schema([*_OUT_ARROW, *carry])
+
     def rewrite(key, docs, answers):
+        if not docs.num_rows:
+            return schema.empty_table()
         c = _Chunk(docs, min_chars)
         drop = np.zeros(len(c.row), bool)
         if answers.num_rows:
@@ -132,23 +137,24 @@ def _rewrite(buckets: int, min_chars: int, keep_text: bool):
                 text = b"\n".join(compress(text.split(b"\n"), keep[c.first[i] : c.first[i + 1]]))
             sums.append(hashlib.sha256(text).hexdigest())
             texts.append(text.decode("utf-8", "replace") if keep_text else None)
-        return pa.Table.from_arrays([c.ids.combine_chunks().cast(pa.int64()), pa.array(c.counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], schema=_OUT_ARROW)
+        return pa.Table.from_arrays([c.ids.combine_chunks().cast(pa.int64()), pa.array(c.counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string()), *(docs.column(f"_{n}").combine_chunks().cast(t) for n, t in zip(schema.names[len(_OUT_ARROW) :], schema.types[len(_OUT_ARROW) :]))], schema=schema)
 
     return rewrite
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = FANOUT, keep_text: bool = True, docs_per_chunk: int = X.DOCS_PER_CHUNK) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = FANOUT, keep_text: bool = True, docs_per_chunk: int = X.DOCS_PER_CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key has at least ``min_chars`` code points and occurs in at least ``min_docs`` rows.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, n_lines, n_dropped, kept_sha256 and
     kept_text (null unless keep_text), one row for each input row. A null or empty text is one empty line and
     stays the empty text; a text that loses all lines becomes empty. Rows that repeat a doc_id, or have none,
-    count as documents of their own. An empty table gives an empty result.
+    count as documents of their own. An empty table gives an empty result. Columns named in ``carry`` come along.
     """
     chunks, buckets = X.sizes(docs, docs_per_chunk)
-    groups = X.chunked(docs, chunks, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).groupBy("chunk")
+    groups = X.chunked(docs, chunks, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry)).groupBy("chunk")
+    extra = docs.select(*carry).schema
     answers = groups.applyInArrow(_send(buckets, min_chars), X.SENT).groupBy("bucket").applyInArrow(_mark(min_docs, fanout), X.ANSWER)
-    return groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(buckets, min_chars, keep_text), OUT)
+    return groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(buckets, min_chars, keep_text, to_arrow_schema(extra)), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
 
 
 class LineRuns:

@@ -66,7 +66,7 @@ WITH lines AS (
        LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS i) t
 ),
 frequent AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.key) AS BIGINT) AS n_dropped,
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE f.key IS NULL), '') AS kept_text, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.key) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN frequent f ON l.key = f.key GROUP BY l.doc_id
 """
@@ -200,5 +200,23 @@ FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN smallest m O
 """
 
 
+def _over(table: str, sql: str) -> str:
+    """A query's SQL with ``table`` in the place of documents."""
+    head, rest = ("WITH RECURSIVE", sql.strip()[14:]) if sql.strip().startswith("WITH RECURSIVE") else ("WITH", sql.strip()[4:])
+    return f"({head} documents AS (SELECT * FROM {table}), {rest})"
+
+
+PIPELINE = f"""
+WITH good AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({OP6}) r ON d.doc_id = r.doc_id WHERE r.kept),
+lines_out AS MATERIALIZED (
+  SELECT d.doc_id, r.kept_text AS text, d.lang, d.source, CAST(length(r.kept_text) AS BIGINT) AS n_chars
+  FROM good d JOIN {_over("good", OP4)} r ON d.doc_id = r.doc_id
+),
+apart AS MATERIALIZED (SELECT d.* FROM lines_out d JOIN {_over("lines_out", OP9)} r ON d.doc_id = r.doc_id WHERE r.component_id = d.doc_id),
+clean AS MATERIALIZED (SELECT d.* FROM apart d JOIN {_over("apart", OP3)} r ON d.doc_id = r.doc_id WHERE NOT r.contaminated)
+SELECT d.doc_id, d.source, r.size, r.source_size, r.target, r.taken FROM clean d JOIN {_over("clean", OP8)} r ON d.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": OP4, "op6_quality_rules": OP6, "op8_source_mixing": OP8, "op9_ngram_jaccard": OP9}
+    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_line_dedup": f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({OP4})", "op6_quality_rules": OP6, "op8_source_mixing": OP8, "op9_ngram_jaccard": OP9}
