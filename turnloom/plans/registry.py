@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import intervals
+from turnloom.plans import intervals, vectors
 
 
 def _modules():
-    return [intervals]
+    return [intervals, vectors]
 
 
 def queries() -> dict:
