@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import intervals, vectors
+from turnloom.plans import intervals, sequence, vectors
 
 
 def _modules():
-    return [intervals, vectors]
+    return [intervals, vectors, sequence]
 
 
 def queries() -> dict:
