@@ -81,5 +81,5 @@ def label_index(label: Column) -> Column:
 
 
 def due_hint(text: Column) -> Column:
-    """What follows by, until or bis, up to punctuation; null where there is none."""
-    return F.nullif(F.trim(F.regexp_extract(text, r"(?i)\b(?:by|until|bis)\s+([^.,;!?]{2,40})", 1)), F.lit(""))
+    """A phrase that begins with by, until or bis, up to punctuation; null where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(text, r"(?i)\b(by|until|bis)\s+([^,.!?;]{2,40})", 0)), F.lit(""))

@@ -97,16 +97,27 @@ def medoids(rows: DataFrame, keys: list[str], row_key: str, vector: str = "embed
     return best.select(*keys, F.col(f"b.{row_key}").alias(row_key), (-F.col("b.m")).alias("mean_similarity"))
 
 
+QUERY_BLOCK = 4096
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding") -> DataFrame:
     """The k rows with the largest cosine to each query vector, ties by row key: exact search of a stated query set.
 
-    Only (similarity, key) pairs are aggregated, k per task and query at most.
+    Queries meet all rows in blocks of about ``QUERY_BLOCK``, each of which is sent to all tasks. A task passes on its
+    best k rows per query only, as the ranking filter is applied before the shuffle too.
     """
     q = queries.select(F.col(query_key).alias("query"), F.col(vector).alias("_q"))
-    pairs = rows.select(F.col(row_key).alias("match"), F.col(vector).alias("_v")).crossJoin(F.broadcast(q.limit(10_000)))
-    scored = pairs.filter("query <> match").select("query", "match", V.cosine(F.col("_q"), F.col("_v")).alias("similarity"))
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "match"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    body = rows.select(F.col(row_key).alias("match"), F.col(vector).alias("_v"))
+    out = None
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else q
+        pairs = body.crossJoin(F.broadcast(part)).filter("query <> match")
+        scored = pairs.select("query", "match", V.cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+        place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "match"))
+        best = scored.withColumn("place", place).filter(F.col("place") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def gallery_match(queries: DataFrame, samples: DataFrame, keys: list[str], query_key: str, least_similarity: float = 0.62, duplicate: float = 0.995, bonus: float = 0.025, least_margin: float = 0.05) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import intervals, sequence, vectors
+from turnloom.plans import intervals, retrieval, sequence, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence]
+    return [intervals, vectors, sequence, retrieval]
 
 
 def queries() -> dict:
