@@ -9,13 +9,13 @@ when the share of common shingles reaches ``NUM`` / ``DEN``.
    which of them two classes hold; a class with fewer than k of them has no partner.
 3. The rest send their whole sets and learn how many classes hold each shingle. Globally ordered from rare to
    frequent, shingles of one class only come first, count for the bounds and are then left out.
-4. Classes meet at the shingles of their prefixes. At each shingle the class with the fewest shingles of its own is
-   the pivot, and every class is compared with the pivot that most of its prefix names. Shingles whose classes
-   are then all connected are done. At the others, all pairs not yet connected that pass the size and position
-   bounds are compared. So a group of copies costs one comparison per copy, but no pair that could link is lost.
-5. A comparison joins a query's set with a prefix tree of its partners' sets, from frequent to rare: partial
-   overlaps are shared along common prefixes, and a subtree is left as soon as what remains can't reach the bound.
-   Partners come in blocks of bounded size, each with a copy of the query's set.
+4. Classes meet at the shingles of their prefixes. At each shingle the most central class, that with the highest
+   mean frequency rank, is the pivot, and every class is compared with the pivot that most of its prefix names.
+   Shingles whose classes are then all connected are done. At the others, classes that named the same pivot form
+   blocks of bounded size, and blocks that meet within the size and position bounds are compared as wholes, without
+   a row for each pair. So a group of copies costs one comparison per copy, but no pair that could link is lost.
+5. A comparison joins a set with a prefix tree of its partners' sets, from frequent to rare: partial overlaps are
+   shared along common prefixes, and a subtree is left as soon as what remains can't reach the bound.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from turnloom.llm.storage import written
 
 WIDTH, NUM, DEN = 5, 80, 100
 KEY_BYTES = 6
-#: Shingles of partners in one block of a comparison.
-BLOCK_SHINGLES = 1 << 15
+#: Shingles, and sets, in one block of a comparison, about.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 15, 128
 
 
 def least_overlap(n, num: int = NUM, den: int = DEN):
@@ -196,12 +196,16 @@ def _ranks_of(notes: pa.Table, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-SETS = "doc_id long, n int, own int, prefix array<long>, shingles binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())])
+SETS = "doc_id long, n int, own int, centre int, prefix array<long>, shingles binary"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("centre", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
 
 def _make_sets(buckets: int, width: int, num: int, den: int):
-    """Sets from rare to frequent, without shingles of their own class only (``own`` of them)."""
+    """Sets from rare to frequent, without shingles of their own class only (``own`` of them).
+
+    ``centre`` is the mean frequency rank of the whole set: in a group of near copies, the class that the others
+    were made from, or the one closest to it, has the highest.
+    """
 
     def make(key, docs, notes):
         if not docs.num_rows or not notes.num_rows:
@@ -219,7 +223,7 @@ def _make_sets(buckets: int, width: int, num: int, den: int):
             if n - own < t:
                 continue
             h = h[np.lexsort((h, r))][own:]
-            out.append({"doc_id": ids[i], "n": n, "own": own, "prefix": h[: n - t + 1 - own].view(np.int64).tolist(), "shingles": h.astype("<u8").tobytes()})
+            out.append({"doc_id": ids[i], "n": n, "own": own, "centre": int(r.sum(dtype=np.int64)) * 64 // n, "prefix": h[: n - t + 1 - own].view(np.int64).tolist(), "shingles": h.astype("<u8").tobytes()})
         return pa.Table.from_pylist(out, schema=_SETS_ARROW)
 
     return make
@@ -288,22 +292,72 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN)
     return written(members.unionByName(queries).groupBy("query", "block").applyInArrow(_compare(num, den), LINKS), "links")
 
 
+def _block_links(num: int, den: int):
+    """Links between the sets of two blocks, or within one, that connect labels not yet connected in this task."""
+
+    def compare(key, table):
+        ids, ns, labels, asks = (table.column(c).to_pylist() for c in ("doc_id", "n", "label", "asks"))
+        sets = [np.frombuffer(s.as_buffer(), "<u8")[::-1] for s in table.column("shingles")]
+        root: dict[int, int] = {}
+
+        def top(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        one = [i for i, a in enumerate(asks) if a]
+        two = [i for i, a in enumerate(asks) if not a]
+        rows = []
+        for k, q in enumerate(one):
+            mine = top(labels[q])
+            others = [i for i in (two or one[k + 1 :]) if top(labels[i]) != mine]
+            needs = [int(pair_overlap(ns[q], ns[i], num, den)) for i in others]
+            for i, c in zip(others, tree_overlaps(sets[q], [sets[i] for i in others], needs)):
+                if c >= 0 and top(labels[i]) != top(labels[q]):
+                    root[top(labels[i])] = top(labels[q])
+                    rows.append((ids[q], ids[i], c))
+        return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 3, _LINKS_ARROW.types)], schema=_LINKS_ARROW)
+
+    return compare
+
+
+def block_links(rest: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Links among classes that meet at the shingles of ``rest`` and have different labels.
+
+    Classes that named the same pivot are cut into blocks of bounded size. Blocks that meet at a shingle, with
+    sizes and positions that allow a link, are compared as wholes, so each set moves once for each partner block:
+    no row is made for a pair of classes unless it is a link that connects two labels.
+    """
+    classes = rest.groupBy("doc_id", "n", "label", "cluster").agg(F.count(F.lit(1)).alias("_c")).drop("_c")
+    parts = classes.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("long").alias("parts"))
+    placed = written(classes.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts"), "blocks")
+    block = F.struct("cluster", "part")
+    met = rest.drop("n", "label", "cluster").join(placed, "doc_id").groupBy("shingle", block.alias("block")).agg(F.max("left").alias("most"), F.min("n").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = written(met, "meeting")
+    able = F.expr(f"least(a.most, b.most) * {num + den} >= (a.least + b.least) * {num} AND a.block <= b.block AND (a.low <> b.high OR a.high <> b.low)")
+    pairs = met.alias("a").join(met.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & able).select(F.col("a.block").alias("one"), F.col("b.block").alias("two")).distinct()
+    pairs = written(pairs, "pairs")
+    body = placed.select(block.alias("block"), "doc_id", "label").join(sets.select("doc_id", "n", "shingles"), "doc_id")
+    first = pairs.join(body, F.col("one") == F.col("block")).withColumn("asks", F.lit(True))
+    second = pairs.filter("one <> two").join(body, F.col("two") == F.col("block")).withColumn("asks", F.lit(False))
+    return written(first.unionByName(second).drop("block").groupBy("one", "two").applyInArrow(_block_links(num, den), LINKS), "links")
+
+
 def links_of(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Links that connect all classes that links connect; not each link within a component is looked for."""
-    met = written(sets.select("doc_id", "n", "own", F.posexplode("prefix").alias("place", "shingle")).withColumn("left", F.col("n") - F.col("own") - F.col("place")).drop("place"), "met")
-    pivots = written(met.groupBy("shingle").agg(F.min(F.struct("own", "doc_id")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("shingle", F.col("p.doc_id").alias("pivot")), "pivots")
-    named = met.join(pivots, "shingle").filter("pivot <> doc_id").groupBy("doc_id", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    chosen = named.groupBy("doc_id", "n").agg(F.max(F.struct("c", -F.col("pivot"))).alias("best")).select((-F.col("best.col2")).alias("query"), F.col("doc_id").alias("member"), "n")
+    met = sets.select("doc_id", "n", "own", "centre", F.posexplode("prefix").alias("place", "shingle"))
+    met = written(met.select("shingle", "doc_id", "n", "centre", (F.col("n") - F.col("own") - F.col("place")).alias("left")), "met")
+    pivots = met.groupBy("shingle").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    met = written(met.join(pivots, "shingle").drop("centre"), "shared")
+    named = met.filter("pivot <> doc_id").groupBy("doc_id", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    chosen = written(named.groupBy("doc_id", "n").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("query")).select("query", F.col("doc_id").alias("member"), "n"), "chosen")
     stars = compared(chosen, sets, num, den)
     at = written(components(stars.select("a", "b")), "stars")
-    open_ = met.join(at, met.doc_id == at.node, "left").select("shingle", "doc_id", "n", "left", F.coalesce("component", "doc_id").alias("label"))
-    open_ = written(open_, "labels")
-    undone = written(open_.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle"), "undone")
-    rest = written(open_.join(undone, "shingle"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    able = F.expr(f"least(a.left, b.left) * {num + den} >= (a.n + b.n) * {num} AND a.label <> b.label AND a.doc_id < b.doc_id")
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & able).select(F.col("a.doc_id").alias("query"), F.col("b.doc_id").alias("member"), F.col("b.n").alias("n")).distinct()
-    return stars.unionByName(compared(pairs, sets, num, den))
+    labelled = met.drop("pivot").join(at, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+    labelled = written(labelled.join(chosen.select(F.col("member").alias("doc_id"), "query"), "doc_id", "left").withColumn("cluster", F.coalesce("query", "doc_id")).drop("query"), "labels")
+    undone = labelled.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle")
+    return stars.unionByName(block_links(written(labelled.join(undone, "shingle"), "rest"), sets, num, den))
 
 
 def linked(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, docs_per_chunk: int = X.DOCS_PER_CHUNK) -> DataFrame:
