@@ -14,28 +14,25 @@ DIMENSIONS = 64
 STOP_WORDS = ("about", "also", "been", "could", "does", "from", "have", "into", "that", "their", "them", "then", "there", "these", "they", "this", "were", "what", "when", "where", "which", "with", "would", "your")
 
 
-def hash_embedding(tokens: Column) -> Column:
-    """Unit vector of ``DIMENSIONS`` counts: a token adds 1 or -1 to the slot that its SHA-256 names; zeros if empty."""
-    digest = F.transform(tokens, lambda t: F.sha2(t, 256))
-    slots = F.transform(digest, lambda d: F.struct((F.conv(F.substring(d, 1, 2), 16, 10).cast("int") % DIMENSIONS).alias("slot"), F.when(F.conv(F.substring(d, 5, 2), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda a, s: a + F.when(s["slot"] == i, s["sign"]).otherwise(0.0)))
-    return _unit(raw)
-
-
-def _unit(v: Column) -> Column:
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
-
-
 def hashed_vectors(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """The same embeddings for long texts: tokens are exploded and summed by slot, with partial sums before the shuffle."""
+    """(key, embedding) of the rows that have tokens: a unit vector of ``DIMENSIONS`` sums.
+
+    A token adds 1 or -1 to the slot that its SHA-256 names. Each distinct token of a row is hashed once; sums by
+    slot are partial before the shuffle.
+    """
     t = rows.select(key, F.explode(tokens).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("n")).withColumn("d", F.sha2("t", 256))
     slot = F.conv(F.substring("d", 1, 2), 16, 10).cast("int") % DIMENSIONS
     sign = F.when(F.conv(F.substring("d", 5, 2), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
     sums = t.groupBy(key, slot.alias("slot")).agg(F.sum(sign * F.col("n")).alias("x"))
-    vec = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return vec.select(key, _unit(filled).alias("embedding"))
+    vec = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(F.lit(0.0)))
+    return vec.select(key, at.alias("embedding"))
+
+
+def hash_embedding(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``hashed_vectors`` for every row; a row without tokens has zeros."""
+    zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
+    return rows.select(key).join(hashed_vectors(rows, key, tokens), key, "left").withColumn("embedding", F.coalesce("embedding", zeros))
 
 
 def bm25(rows: DataFrame, key: str, tokens: str, queries: DataFrame, query_key: str, query_tokens: str, k1: float = 1.5, b: float = 0.75, numerator: float = 2.5) -> DataFrame:

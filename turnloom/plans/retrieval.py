@@ -40,8 +40,9 @@ def token_jaccard(spark, sf_dir):
 
 
 def hash_embedding(spark, sf_dir):
-    t = _turns(spark, sf_dir).select("session_id", "idx", R.hash_embedding(T.unicode_tokens(F.col("text"))).alias("e"))
-    return t.select("session_id", "idx", F.transform("e", lambda x: quantized(x)).alias("embedding"))
+    t = _turns(spark, sf_dir).select(F.struct("session_id", "idx").alias("at"), T.unicode_tokens(F.col("text")).alias("tokens"))
+    e = R.hash_embedding(t, "at", "tokens")
+    return e.select("at.session_id", "at.idx", F.transform("embedding", lambda x: quantized(x)).alias("embedding"))
 
 
 def _bm25(spark, sf_dir):
