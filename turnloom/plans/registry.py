@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import intervals, retrieval, sequence, vectors
+from turnloom.plans import intervals, live, retrieval, sequence, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval]
+    return [intervals, vectors, sequence, retrieval, live]
 
 
 def queries() -> dict:
