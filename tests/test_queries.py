@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators import retrieval
+from turnloom.operators import reports, retrieval
 from turnloom.plans import registry
 from turnloom.plans.views import TABLES
 
@@ -66,3 +66,9 @@ def test_text_expressions(spark):
     df = spark.createDataFrame([("A b. A b.", "https://youtu.be/abc-1?x", "Done by Friday, then")], "t string, u string, d string")
     r = df.select(T.is_repeated_phrase(F.col("t")).alias("r"), T.video_id(F.col("u")).alias("v"), T.due_hint(F.col("d")).alias("d"), T.slug(F.lit(" Ab--c! ")).alias("s")).first()
     assert (r.r, r.v, r.d, r.s) == (True, "abc-1", "by Friday", "ab-c")
+
+
+def test_cues(spark):
+    rows = [(1, 0, "We decided. I will follow up, ok?"), (1, 1, "First 20% always"), (1, 2, None), (2, 0, "nothing here"), (2, 1, "A blocker")]
+    out = reports.cue_objects(spark.createDataFrame(rows, "session_id long, idx long, text string"), "session_id").collect()
+    assert {(r.session_id, r.idx, r.type) for r in out} == {(1, 0, "decision"), (1, 0, "action_item"), (1, 0, "open_question"), (1, 1, "claim"), (2, 1, "risk")}

@@ -62,12 +62,12 @@ def rrf_search(spark, sf_dir):
 
 def evidence_neighbours(spark, sf_dir):
     t = _turns(spark, sf_dir)
-    hits = t.filter(F.contains("text", F.lit("?")))
+    hits = t.filter(F.contains("text", F.lit("than")))
     return R.neighbours(hits, t, "session_id", "idx").select("session_id", "idx", "speaker")
 
 
 def exact_term_rows(spark, sf_dir):
-    terms = F.array(*map(F.lit, ("would", "please", "answer", "there", "question", "thanks")))
+    terms = F.array(*map(F.lit, ("would", "please", "answer", "tion", "thre", "with", "than")))
     t = _turns(spark, sf_dir)
     return R.exact_rows(t, T.unicode_tokens(F.col("text")), R.query_terms(terms), ["start_ms", "session_id", "idx"]).select("session_id", "idx", "matched")
 
@@ -207,8 +207,8 @@ SQL = {
     "hash_embedding": f"WITH t AS (SELECT session_id * 100000 + idx AS k, session_id, idx, {_tok('text')} AS w FROM turns), h AS {_hashed('t', 'k')}, f AS (SELECT t.session_id, t.idx, coalesce(h.e, list_transform(range(64), lambda i: 0.0::DOUBLE)) AS e FROM t LEFT JOIN h ON t.k = h.k) SELECT session_id, idx, list_transform(e, lambda x: {_q('CASE WHEN list_dot_product(e, e) > 0 THEN x / sqrt(list_dot_product(e, e)) ELSE 0 END')}) AS embedding FROM f",
     "bm25_topk": f"WITH {_BM} SELECT query, doc_id, {_q('score')} AS score FROM bmtop",
     "rrf_search": f"WITH {_BM}, hd AS {_hashed('d', 'doc_id')}, qd AS (SELECT item_id, {_tok('text')} AS w FROM benchmark WHERE item_id % 50 = 0), hq AS {_hashed('qd', 'item_id')}, s AS (SELECT item_id AS query, doc_id, list_dot_product(hq.e, hd.e) / nullif(sqrt(list_dot_product(hq.e, hq.e)) * sqrt(list_dot_product(hd.e, hd.e)), 0) AS c FROM hq, hd), st AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY coalesce(c, 0) DESC, doc_id) AS place FROM s), u AS (SELECT query, doc_id, place FROM st WHERE place <= 30 UNION ALL SELECT query, doc_id, place FROM bmtop), f AS (SELECT query, doc_id, sum(1.0::DOUBLE / (60 + place)) AS score FROM u GROUP BY ALL) SELECT query, doc_id, {_q('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 30",
-    "evidence_neighbours": "SELECT session_id, idx, speaker FROM turns t WHERE EXISTS (SELECT 1 FROM turns h WHERE h.session_id = t.session_id AND abs(h.idx - t.idx) <= 1 AND contains(h.text, '?'))",
-    "exact_term_rows": f"SELECT session_id, idx, CAST(matched AS INT) AS matched FROM (SELECT session_id, idx, start_ms, len(list_intersect(list_distinct({_tok('text')}), ['please', 'answer', 'question', 'thanks'])) AS matched FROM turns) WHERE matched > 0 ORDER BY matched DESC, start_ms, session_id, idx LIMIT 6",
+    "evidence_neighbours": "SELECT session_id, idx, speaker FROM turns t WHERE EXISTS (SELECT 1 FROM turns h WHERE h.session_id = t.session_id AND abs(h.idx - t.idx) <= 1 AND contains(h.text, 'than'))",
+    "exact_term_rows": f"SELECT session_id, idx, CAST(matched AS INT) AS matched FROM (SELECT session_id, idx, start_ms, len(list_intersect(list_distinct({_tok('text')}), ['please', 'answer', 'tion', 'thre', 'than'])) AS matched FROM turns) WHERE matched > 0 ORDER BY matched DESC, start_ms, session_id, idx LIMIT 6",
     "cue_extraction": f"WITH {_CUES} SELECT session_id, idx, type, number FROM cues",
     "cue_status": f"WITH {_CUES} SELECT session_id, " + ", ".join(f"count(*) FILTER (WHERE type = '{k}') AS {k}" for k in P.CUES) + " FROM cues GROUP BY session_id",
     "due_hints": r"SELECT * FROM (SELECT session_id, idx, nullif(trim(regexp_extract(text, '(?i)\b(by|until|bis)\s+([^,.!?;]{2,40})', 0)), '') AS due FROM turns) WHERE due IS NOT NULL",
