@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from math import isqrt
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def text_tokens(text: Column) -> Column:
@@ -51,9 +56,26 @@ def words_to_text(words: Column) -> Column:
     return F.regexp_replace(F.array_join(words, " "), r"\s+([,.;:!?])", r"$1")
 
 
+def repeats_phrase(words: list[str], least_words: int) -> bool:
+    """Whether a list is its first k words, k at least ``least_words``, twice or more."""
+    n = len(words)
+    divisors = {k for d in range(1, isqrt(n) + 1) if n % d == 0 for k in (d, n // d)}
+    return any(least_words <= k < n and words[:k] == words[k : 2 * k] and words[k:] == words[:-k] for k in divisors)
+
+
 def is_repeated_phrase(text: Column, least_words: int = 2) -> Column:
-    """Whether the whole text is a phrase of at least so many words, twice or more."""
-    return normalized_match_text(text).rlike(rf"^((?:\S+ ){{{least_words - 1},}}?\S+)(?: \1)+$")
+    """Whether the whole text is a phrase of at least so many words, twice or more. Texts of any length are judged whole.
+
+    Words are runs of Unicode letters, digits, marks and apostrophes of the text in form NFKC with cases folded.
+    """
+
+    def judge(texts: pd.Series) -> pd.Series:
+        import regex
+
+        word = regex.compile(r"[\p{L}\p{N}\p{M}']+")
+        return pd.Series([None if t is None else repeats_phrase(word.findall(unicodedata.normalize("NFKC", t).casefold()), least_words) for t in texts], dtype=object)
+
+    return F.pandas_udf(judge, BooleanType())(text)
 
 
 def contains_tokens(tokens: Column, phrase: Column) -> Column:

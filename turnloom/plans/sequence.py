@@ -56,8 +56,9 @@ def repeated_phrases(spark, sf_dir):
 
 
 def exact_repeats(spark, sf_dir):
+    """Lines of a document that are one phrase repeated, of any length; the SQL below stops at 200 characters and ASCII words."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") < 200)
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.filter(T.is_repeated_phrase(F.col("line"), 1)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
