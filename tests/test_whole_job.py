@@ -1,8 +1,13 @@
 """Cases at the edges where operators once did less than the whole job."""
 
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
+from turnloom.operators import reports
+from turnloom.plans import retrieval as plans
 from turnloom.plans import sequence
 
 
@@ -25,3 +30,18 @@ def test_exact_repeats_keeps_long_lines(spark, tmp_path):
     rows = [(1, "so it goes " * 30), (2, "short one"), (3, "да нет да нет\nплюс")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.doc_id, r.lines) for r in sequence.exact_repeats(spark, str(tmp_path)).collect()} == {(1, 1), (3, 1)}
+
+
+def test_ordered_hash_is_that_of_the_joined_string(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([n, n, n // 300]) - 400, None if rng.random() < 0.05 else f"v{rng.randrange(9)}é") for k in ("a", "b", None) for n in range({"a": 2000, "b": 256, None: 3}[k])] + [("c", 7, None)]
+    got = {r.k: (r.digest, r.rows) for r in reports.ordered_sha256(spark.createDataFrame(rows, "k string, at long, v string").repartition(5), "k", "at", "v").collect()}
+    for k in ("a", "b", "c", None):
+        mine = sorted((at, v or "") for x, at, v in rows if x == k)
+        assert got[k] == (hashlib.sha256(",".join(v for _, v in mine if v).encode()).hexdigest(), len(mine))
+
+
+def test_scope_gathers_no_list_of_sessions(spark, sf_dir):
+    df = plans.scope_members(spark, sf_dir)
+    assert "collect_" not in df._jdf.queryExecution().toString()
+    assert df.count() > 0

@@ -140,9 +140,9 @@ def outline_rows(spark, sf_dir):
 
 
 def scope_members(spark, sf_dir):
-    """Sessions of each speaker as a sorted scope with its hash."""
-    t = _turns(spark, sf_dir).groupBy("speaker").agg(F.array_sort(F.collect_set(F.col("session_id"))).alias("ids"))
-    return t.select("speaker", F.size("ids").cast("long").alias("sessions"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("scope_id"))
+    """Sessions of each speaker, counted, with the hash of their sorted ids; no list of the ids is built."""
+    t = _turns(spark, sf_dir).select("speaker", "session_id").distinct()
+    return P.ordered_sha256(t, "speaker", "session_id", "session_id").select("speaker", F.col("rows").alias("sessions"), F.col("digest").alias("scope_id"))
 
 
 def url_video_id(spark, sf_dir):
