@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators import reports
+from turnloom.operators import reports, retrieval
 from turnloom.plans import retrieval as plans
 from turnloom.plans import sequence
 
@@ -45,3 +45,30 @@ def test_scope_gathers_no_list_of_sessions(spark, sf_dir):
     df = plans.scope_members(spark, sf_dir)
     assert "collect_" not in df._jdf.queryExecution().toString()
     assert df.count() > 0
+
+
+def test_sessions_are_read_as_streams(spark, sf_dir):
+    for query in (plans.row_revisions, plans.chunk_transcript):
+        plan = query(spark, sf_dir)._jdf.queryExecution().toString()
+        assert "collect_" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_a_long_session_is_packed_from_batches(spark):
+    rows = [(None if s == 2 else s, k, f"s{s} " + " ".join(f"r{k}w{j}" for j in range(k % 97))) for s in range(3) for k in range(1000)]
+    df = spark.createDataFrame(rows, "session_id long, idx long, text string").repartition(7)
+
+    def packed():
+        return sorted(map(repr, retrieval.chunks(df, "session_id").collect()))
+
+    whole = packed()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert packed() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    chunks = retrieval.chunks(df, "session_id").collect()
+    for s in (0, 1, None):
+        mine = sorted((c for c in chunks if c.session_id == s), key=lambda c: c.ordinal)
+        assert [c.ordinal for c in mine] == list(range(len(mine)))
+        assert {w for c in mine for w in c.text.split()} == {w for x, _, t in rows if x == s for w in t.split()}
+        assert all(c.words <= retrieval.MOST_WORDS for c in mine)

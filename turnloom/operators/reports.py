@@ -87,9 +87,8 @@ def row_revision(*columns: str) -> Column:
 
 
 def revision_ids(rows: DataFrame, key: str, revision: str) -> DataFrame:
-    """Hash over a session's row revisions in order, from fixed-size hashes only."""
-    all_ = F.array_sort(F.collect_list(F.struct("idx", revision)))
-    return rows.groupBy(key).agg(F.substring(F.sha2(F.array_join(F.transform(all_, lambda x: x[revision]), ","), 256), 1, 32).alias("revision_id"), F.count(F.lit(1)).alias("rows"))
+    """Hash over a session's row revisions in order; no list of a session's rows is built."""
+    return ordered_sha256(rows, key, "idx", revision).select(key, F.substring("digest", 1, 32).alias("revision_id"), "rows")
 
 
 def stale_evidence(evidence: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,59 +87,78 @@ def chunks(rows: DataFrame, key: str) -> DataFrame:
     """Rows of a session packed into chunks: closed at 180 tokens, never above 260, 40 or more tokens of overlap.
 
     Rows longer than 260 tokens are split between words first. A last chunk that holds nothing but the overlap is
-    left out. A session is one timeline, so one task packs it.
+    left out. A session is one timeline, so one task packs it, as a stream of sorted rows: it holds a batch of rows
+    and the current chunk, however long the session.
     """
-    shape = f"{key} long, ordinal int, first_idx long, last_idx long, words int, text string"
+    kind = rows.schema[key].dataType
+    shape = f"{key} {kind.simpleString()}, ordinal int, first_idx long, last_idx long, words int, text string"
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pieces(idx, text):
         import regex
 
         count = lambda t: len(regex.findall(r"[\w'-]+", t))
-        pieces = []
-        for r in pdf.sort_values("idx").itertuples(index=False):
-            text, part, n = r.text or "", [], 0
-            if count(text) <= MOST_WORDS:
-                pieces.append((r.idx, text, count(text)))
-                continue
-            for word in text.split():
-                m = count(word)
-                if part and n + m > MOST_WORDS:
-                    pieces.append((r.idx, " ".join(part), n))
-                    part, n = [], 0
-                part.append(word)
-                n += m
-            if part:
-                pieces.append((r.idx, " ".join(part), n))
-        out, current, fresh = [], [], False
-
-        def size(rows):
-            return sum(max(1, p[2]) for p in rows)
+        if (n := count(text)) <= MOST_WORDS:
+            yield idx, text, n
+            return
+        part, n = [], 0
+        for word in text.split():
+            m = count(word)
+            if part and n + m > MOST_WORDS:
+                yield idx, " ".join(part), n
+                part, n = [], 0
+            part.append(word)
+            n += m
+        if part:
+            yield idx, " ".join(part), n
+
+    def size(rows):
+        return sum(max(1, p[2]) for p in rows)
+
+    def packed(sorted_rows):
+        now, ordinal, current, fresh = (), 0, [], False
 
         def close():
-            nonlocal current, fresh
-            out.append((pdf[key].iloc[0], len(out), current[0][0], current[-1][0], sum(p[2] for p in current), "\n".join(p[1] for p in current)))
+            nonlocal ordinal, current, fresh
+            out = (*now, ordinal, current[0][0], current[-1][0], sum(p[2] for p in current), "\n".join(p[1] for p in current))
             keep = []
             for p in reversed(current):
                 keep.insert(0, p)
                 if sum(x[2] for x in keep) >= OVERLAP_WORDS:
                     break
-            current, fresh = keep, False
-
-        for p in pieces:
-            if current and size(current) + max(1, p[2]) > MOST_WORDS:
-                if fresh:
-                    close()
-                if size(current) + max(1, p[2]) > MOST_WORDS:
-                    current = []
-            current.append(p)
-            fresh = True
-            if size(current) >= TARGET_WORDS:
-                close()
+            ordinal, current, fresh = ordinal + 1, keep, False
+            return out
+
+        for k, idx, text in sorted_rows:
+            if now != (k,):
+                if current and fresh:
+                    yield close()
+                now, ordinal, current, fresh = (k,), 0, [], False
+            for p in pieces(idx, text or ""):
+                if current and size(current) + max(1, p[2]) > MOST_WORDS:
+                    if fresh:
+                        yield close()
+                    if size(current) + max(1, p[2]) > MOST_WORDS:
+                        current = []
+                current.append(p)
+                fresh = True
+                if size(current) >= TARGET_WORDS:
+                    yield close()
         if current and fresh:
-            close()
-        return pd.DataFrame(out, columns=[key, "ordinal", "first_idx", "last_idx", "words", "text"])
+            yield close()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+        def each():
+            for batch in batches:
+                types[0] = batch.schema.field(key).type
+                yield from zip(*(batch.column(c).to_pylist() for c in (key, "idx", "text")))
+
+        found = packed(each())
+        while out := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [key, "ordinal", "first_idx", "last_idx", "words", "text"])
 
-    return rows.select(key, "idx", "text").groupBy(key).applyInPandas(pack, shape)
+    return rows.select(key, "idx", "text").repartition(key).sortWithinPartitions(key, "idx").mapInArrow(pack, shape)
 
 
 def jaccard_to_previous(rows: DataFrame, key: str) -> DataFrame:
