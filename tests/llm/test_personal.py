@@ -99,3 +99,13 @@ def test_query_on_whole_table(spark, sf_dir):
         assert got.base_sha256 == hashlib.sha256(",".join(spelled).encode()).hexdigest()
         assert set(spelled) <= set(got.spans.split(",")) | {""}
     assert not out
+
+
+def test_field_finds_keys_of_any_length():
+    rng = random.Random(6)
+    field = P.trained()
+    for length in (64, 256, 300, 344, 2000):
+        for letters in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+            key = "7" + "".join(rng.choices(letters, k=length - 2)) + "d"
+            text = f"the token {key} is old"
+            assert P.field_spans(text, field, P.base_spans(text)) == [("secret", 10, 10 + length)]

@@ -7,7 +7,7 @@ digits, check sums, brackets, neighbouring words). A bounded-entity dynamic prog
 boundaries and kinds jointly; words outside entities are segments of length one. Weights are trained here by
 gradient ascent on the exact conditional likelihood of generated sentences. Every entity feature needs a digit or an
 @ in the span's first and last word, so a text decomposes, without loss, at words farther than ``LONGEST`` from any
-such word. Spans that touch a base span give way to it.
+such word. A segment is bounded in words, not in characters. Spans that touch a base span give way to it.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def features(text: str, words: list[tuple[int, int]], i: int, j: int) -> list[st
     start, end = core(text, words[i][0], words[j - 1][1])
     span = text[start:end]
     first, last = span.split(None, 1)[:1], span.rsplit(None, 1)[-1:]
-    if not span or not all(_MARKED.search(w) for w in (first[0], last[0])) or len(span) > 200:
+    if not span or not all(_MARKED.search(w) for w in (first[0], last[0])):
         return None
     digits = _DIGITS.sub("", span)
     letters = sum(c.isalpha() for c in span)
