@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators import reports, retrieval
+from turnloom.plans import registry
 from turnloom.plans import retrieval as plans
 from turnloom.plans import sequence
 
@@ -72,3 +73,8 @@ def test_a_long_session_is_packed_from_batches(spark):
         assert [c.ordinal for c in mine] == list(range(len(mine)))
         assert {w for c in mine for w in c.text.split()} == {w for x, _, t in rows if x == s for w in t.split()}
         assert all(c.words <= retrieval.MOST_WORDS for c in mine)
+
+
+def test_greedy_map_is_registered_and_one_to_one(spark, sf_dir):
+    rows = registry.queries()["greedy_map"](spark, sf_dir).collect()
+    assert rows and len(rows) == len({(r.session_id, r.profile) for r in rows}) == len({(r.session_id, r.truth) for r in rows})

@@ -35,6 +35,10 @@ def profile_map(spark, sf_dir):
     return S.profile_map(profile_overlap(spark, sf_dir)).select("session_id", "profile", "truth", "overlap_ms")
 
 
+def greedy_map(spark, sf_dir):
+    return S.greedy_map(profile_overlap(spark, sf_dir))
+
+
 def profile_accuracy(spark, sf_dir):
     o = profile_overlap(spark, sf_dir)
     right = S.profile_map(o).select("session_id", "profile", F.col("truth").alias("mapped"))
@@ -243,6 +247,7 @@ reached AS (SELECT *, max(e) OVER (PARTITION BY session_id, idx ORDER BY s, e RO
 flicker AS (SELECT session_id, idx, CAST(count(*) AS BIGINT) AS interruptions, CAST(sum(s - reach) AS BIGINT) AS interrupted_ms FROM reached WHERE s - reach >= 250 GROUP BY ALL)"""
 
 SQL = {
+    "greedy_map": f"SELECT session_id, profile, truth, overlap_ms FROM (WITH RECURSIVE {_MATRIX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY overlap_ms DESC, profile, truth) AS k FROM matrix), walk AS (SELECT *, true AS taken, [profile] AS ps, [truth] AS ts FROM ranked WHERE k = 1 UNION ALL SELECT r.*, f.free, CASE WHEN f.free THEN list_append(w.ps, r.profile) ELSE w.ps END, CASE WHEN f.free THEN list_append(w.ts, r.truth) ELSE w.ts END FROM walk w JOIN ranked r ON r.session_id = w.session_id AND r.k = w.k + 1, LATERAL (SELECT NOT list_contains(w.ps, r.profile) AND NOT list_contains(w.ts, r.truth) AS free) f) SELECT * FROM walk WHERE taken)",
     "profile_overlap": f"WITH {_MATRIX} SELECT * FROM matrix",
     "profile_map": f"WITH {_MAP} SELECT * FROM mapped",
     "profile_accuracy": f"WITH {_MAP}, sums AS (SELECT x.session_id, CAST(sum(CASE WHEN x.truth = m.truth THEN x.overlap_ms ELSE 0 END) AS BIGINT) AS correct_ms, CAST(sum(x.overlap_ms) AS BIGINT) AS covered_ms FROM matrix x JOIN mapped m ON x.session_id = m.session_id AND x.profile = m.profile GROUP BY x.session_id) SELECT *, {_q('CASE WHEN covered_ms > 0 THEN correct_ms::DOUBLE / covered_ms ELSE 0 END')} AS accuracy FROM sums",
