@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -205,20 +206,20 @@ def leaks(doc, items):
     return len(ws), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_chars", [1 << 18, 200])
-def test_decontamination(spark, rows, block_chars):
+@pytest.mark.parametrize("part_words", [1 << 20, 20])
+def test_decontamination(spark, rows, part_words):
     rng = random.Random(4)
     items = [(k, " ".join(rng.choices([f"W{j}" for j in range(40)], k=n))) for k, n in enumerate([1, 3, 10, 12, 40])]
     items += [(10, SPACE.sub(lambda m: m[0], rows[1][1] or "x y z")), (10, "É 字字"), (11, None), (12, "... !!"), (None, "w1"), (13, "don't A")]
     docs = [*rows, (3000, f"Intro: {items[4][1].lower()}; end"), (3001, "don t, a"), (None, items[4][1])]
     benchmark = spark.createDataFrame([(i, t, "extra") for i, t in items], "item_id long, text string, doc_id string")
-    out = decontaminate.find_leaks(table(spark, docs), benchmark, block_chars=block_chars).collect()
+    out = decontaminate.find_leaks(table(spark, docs), benchmark, part_words=part_words).collect()
     got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.items, r.contaminated, r.items_sha256) for r in out)
     want = sorted((i or -1, n, h, ids, h > 0, sha(",".join(ids))) for i, t in docs for n, h, ids in [leaks(t, items)])
     assert got == want
     by = {r.doc_id: r for r in out}
     assert [docs[-3][1][s.start : s.end] for s in by[3000].spans if s.end - s.start > 20] == [items[4][1].lower()]
-    kept = {r.doc_id for r in decontaminate.without_leaks(table(spark, docs), benchmark).collect()}
+    kept = {r.doc_id for r in decontaminate.without_leaks(table(spark, docs), benchmark, part_words=part_words).collect()}
     assert kept == {r.doc_id for r in out if not r.contaminated}
 
 
@@ -226,3 +227,38 @@ def test_decontamination_of_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.find_leaks(table(spark, [(1, "a b")]), empty).collect()] == [False]
     assert decontaminate.find_leaks(table(spark, []).limit(0), empty).count() == 0
+
+
+def test_one_automaton_for_a_large_benchmark():
+    """5 MB of items are one automaton, and texts pass it about as fast as one of 200 KB; matches are the exact ones."""
+    rng = np.random.default_rng(3)
+    seconds = {}
+    for n in (2_000, 50_000):  # items of about 17 words of 6 bytes
+        items = [(str(k), rng.integers(1, 60_000, 17).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in range(n)]
+        a = decontaminate.Automaton(items, 10)
+        assert sum(len(w) for _, w in items) < decontaminate.PART_WORDS
+        texts = [rng.integers(1, 60_000, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(3000)]
+        for k in range(0, 3000, 100):
+            texts[k][50:67] = items[k % n][1]
+        hashes, rows = np.concatenate(texts), np.arange(3001) * 300
+        began = time.process_time()
+        last, state = a.matches(hashes, rows)
+        seconds[n] = time.process_time() - began
+        assert sorted(last) == [k * 300 + 59 + j for k in range(0, 3000, 100) for j in range(8)]
+        assert {a.items[i] for i in a.owners(state)[1]} == {str(k % n) for k in range(0, 3000, 100)}
+    assert seconds[50_000] < 8 * seconds[2_000] + 0.5, seconds
+
+
+def test_long_stretches_and_nested_patterns():
+    """One text of known words only, longer than a lane, with patterns of several lengths inside one another."""
+    rng = random.Random(5)
+    words = [rng.randrange(1, 4) for _ in range(2000)]
+    items = [(str(k), words[i : i + n]) for k, (i, n) in enumerate([(0, 1), (3, 2), (9, 4), (100, 7), (300, 10), (700, 30)])]
+    a = decontaminate.Automaton([(i, np.array(w, np.uint64)) for i, w in items], 10)
+    want = set()
+    for _, w in items:
+        n = min(10, len(w))
+        for p in {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}:
+            want |= {(k + n - 1, n) for k in range(len(words) - n + 1) if tuple(words[k : k + n]) == p}
+    last, state = a.matches(np.array(words, np.uint64), np.array([0, 2000]))
+    assert {(int(e), int(a.size[s])) for e, s in zip(last, state)} == want and len(last) == len(want)
