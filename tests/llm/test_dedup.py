@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from turnloom.llm import decontaminate, graphs, jaccard, lines, substrings
+from turnloom.llm import decontaminate, exchange, graphs, jaccard, lines, substrings
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,7 +63,7 @@ def test_substrings(spark, rows):
     for i in sorted(words):
         for k in range(len(words[i]) - 12):
             first.setdefault(tuple(words[i][k : k + 13]), i)
-    out = {r.doc_id: r for r in substrings.remove_repeats(table(spark, rows), docs_per_chunk=16).collect()}
+    out = {r.doc_id: r for r in substrings.remove_repeats(table(spark, rows), chunk_rows=16).collect()}
     assert len(out) == len(rows) and any(r.n_removed for r in out.values())
     for i, ws in words.items():
         gone = {k + j for k in range(len(ws) - 12) if first[tuple(ws[k : k + 13])] < i for j in range(13)}
@@ -71,6 +71,26 @@ def test_substrings(spark, rows):
         assert (out[i].n_words, out[i].n_removed, out[i].kept_sha256, out[i].kept_text) == (len(ws), len(gone), sha(kept), kept)
 
 
+def test_chunks_are_bounded_and_equal_rows_spread(spark):
+    text = "w " * 500
+    table_, buckets = exchange.dealt(table(spark, [(None, text)] * 50 + [(None, "y " * 5000)]).coalesce(1), limit=4000, rows=20)
+    sizes = [(r.rows, r.bytes) for r in table_.groupBy("chunk").agg({"*": "count", "text": "max"}).selectExpr("`count(1)` rows", "length(`max(text)`) bytes").collect()]
+    assert sorted(sizes) == [(1, 10000), (2, 1000)] + [(4, 1000)] * 12 and buckets == 7
+
+
+def test_cuts_cost_the_occupied_buckets_only():
+    """Work follows a chunk's keys, not the number of buckets: a million times more of them changes nothing."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    for buckets in (1, 7, 1000, 1 << 30):
+        began = time.process_time()
+        cuts = exchange.Cuts(keys, buckets)
+        found = list(cuts)
+        assert time.process_time() - began < 0.2
+        assert sum(j - i for _, i, j in found) == 5000 and [b for b, _, _ in found] == sorted({((int(k) >> 32) * buckets) >> 32 for k in keys})
+        assert all(((int(keys[i]) >> 32) * buckets) >> 32 == b == ((int(keys[j - 1]) >> 32) * buckets) >> 32 for b, i, j in found)
+    assert list(exchange.Cuts(keys[:0], 5)) == []
+
+
 def test_substrings_repeated_and_missing_ids(spark):
     text = " ".join(f"w{k}" for k in range(20))
     out = substrings.remove_repeats(table(spark, [(3, text), (3, text), (None, text), (None, text), (5, text)])).collect()
@@ -90,7 +110,7 @@ def test_lines(spark):
     for i, t in rows:
         for line in (t or "").split("\n"):
             held[key(line)].add(i)
-    out = {r.doc_id: r for r in lines.drop_frequent_lines(table(spark, rows), docs_per_chunk=8, fanout=2).collect()}
+    out = {r.doc_id: r for r in lines.drop_frequent_lines(table(spark, rows).repartition(5), chunk_rows=8, fanout=2, batches=3).collect()}
     assert len(out) == len(rows)
     for i, t in rows:
         split = (t or "").split("\n")
@@ -104,25 +124,73 @@ def test_repeated_ids_count_as_documents(spark):
     assert [r.n_dropped for r in out] == [1] * 10
 
 
-def test_sorted_runs_are_compacted_by_levels():
-    rng = np.random.default_rng(1)
-    runs, total = lines.SortedRuns(2), defaultdict(int)
-    for _ in range(13):
-        keys = np.unique(rng.integers(0, 50, 20)).astype("S12")
-        runs.add(keys, np.ones(len(keys), np.int64))
-        for k in keys:
-            total[k] += 1
-    assert [len(level) for level in runs.levels] == [1, 0, 1, 1]  # 13 is 1101 in binary
-    keys, counts = runs.compacted()
-    assert dict(zip(keys, counts)) == total and (np.sort(keys) == keys).all()
+def packed_keys(spark, found):
+    """Rows as chunks send them: a bucket's distinct keys, sorted, with the documents of each."""
+    keys = sorted(found)
+    raw = b"".join(k.encode().ljust(lines.KEY, b"_") for k in keys)
+    return spark.createDataFrame([(0, 1, len(keys), bytearray(raw), bytearray(np.array([found[k] for k in keys], "<u4").tobytes()))], exchange.SENT)
+
+
+def unpacked_runs(runs):
+    out = defaultdict(int)
+    for r in runs.table().collect():
+        for k, n in zip(np.frombuffer(bytes(r.keys), f"S{lines.KEY}"), np.frombuffer(bytes(r.counts), "<u4")):
+            out[k.decode("latin-1").rstrip("_")] += int(n)
+    return dict(out)
+
+
+def test_runs_are_compacted_by_levels_and_settled_keys_stay_out(spark, tmp_path):
+    rng, total = random.Random(1), defaultdict(int)
+    runs = lines.LineRuns(spark, str(tmp_path / "runs"), fanout=2, settled=6)
+    for batch in range(5):
+        found = {f"k{rng.randrange(12)}": rng.randrange(1, 4) for _ in range(6)}
+        runs.count(packed_keys(spark, found), str(batch))
+        for k, n in found.items():
+            total[k] += n if total[k] < 6 else 0
+    assert unpacked_runs(runs) == dict(total)
+    assert sorted(level for level, _ in runs.runs()) == [0, 2]  # 5 is 101 in binary
+
+
+BATCHES = [[(1, "a\nb\nA"), (2, "c"), (None, "c")], [(3, "B\nd\n"), (3, "B\nd\n"), (4, None)], [], [(5, "a\nd\ne")], [(6, "")]]
+
+
+def added(runs, spark, name, batch):
+    docs = spark.createDataFrame([(i, t, "n", "x") for i, t in batch], "doc_id long, text string, n_lines string, chunk string").coalesce(1)
+    return sorted((r.doc_id or 0, r.kept_text) for r in runs.add(docs, name).collect())
 
 
 def test_line_runs_over_batches(spark, tmp_path):
     runs = lines.LineRuns(spark, str(tmp_path / "runs"), fanout=2)
-    batches = [[(1, "a\nb\nA"), (2, "c")], [(3, "B\nd\n"), (4, None)], [(5, "a\nd\ne")], [(6, "")]]
-    got = [sorted((r.doc_id, r.line) for r in runs.add(spark.createDataFrame(b, "doc_id long, text string")).collect()) for b in batches]
-    assert got == [[(1, "a"), (1, "b"), (2, "c")], [(3, "d")], [(5, "e")], []]
-    assert sorted(r.n for r in runs.seen().selectExpr("count(*) n").collect()) == [5] and len(runs.runs()) < 4
+    got = [added(runs, spark, str(k), b) for k, b in enumerate(BATCHES)]
+    assert got == [[(0, ""), (1, "a\nb"), (2, "c")], [(3, ""), (3, "d\n"), (4, "")], [], [(5, "e")], [(6, "")]]
+    assert added(runs, spark, "1", BATCHES[1]) == got[1]  # added before: the same result again
+    assert sorted(unpacked_runs(runs).values()) == [1, 1, 1, 2, 2] and sorted(level for level, _ in runs.runs()) == [0, 2]
+
+
+@pytest.mark.parametrize("at", ["result", "publish", "compaction", "deletion"])
+def test_a_batch_that_fails_can_be_added_again(spark, tmp_path, monkeypatch, at):
+    runs = lines.LineRuns(spark, str(tmp_path / "runs"), fanout=2)
+    want = [added(lines.LineRuns(spark, str(tmp_path / "other"), fanout=2), spark, str(k), b) for k, b in enumerate(BATCHES[:1])]
+    assert [added(runs, spark, "0", BATCHES[0])] == want
+
+    def fail(*_, **__):
+        raise OSError("injected")
+
+    with monkeypatch.context() as m:
+        if at == "result":
+            m.setattr(lines, "_rewrite", fail)
+        elif at == "publish":
+            m.setattr(lines.LineRuns, "_publish", fail)
+        elif at == "compaction":
+            m.setattr(lines.LineRuns, "_compact", fail)
+        else:  # the compacted run is out, the old ones are still there
+            publish = lines.LineRuns._publish
+            m.setattr(lines.LineRuns, "_publish", lambda self, aside, level, name: (publish(self, aside, level, name), level and fail()))
+        with pytest.raises(OSError):
+            added(runs, spark, "1", BATCHES[1])
+    assert added(runs, spark, "1", BATCHES[1]) == [(3, ""), (3, "d\n"), (4, "")]
+    assert sorted(unpacked_runs(runs).values()) == [1, 1, 2, 2]
+    assert added(runs, spark, "3", BATCHES[3]) == [(5, "e")]
 
 
 def shingles(text):
@@ -149,7 +217,7 @@ def classes(rows):
 
 
 def test_jaccard(spark, rows):
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(table(spark, rows), docs_per_chunk=16).collect()}
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(table(spark, rows), chunk_rows=16).collect()}
     assert out == classes(rows)
 
 
@@ -164,10 +232,31 @@ def test_jaccard_of_many_copies_that_differ_at_two_places(spark, monkeypatch):
         for _ in range(rng.choice([1, 2, 2, 3])):
             words[rng.randrange(110)] = f"x{rng.randrange(12)}"
         rows.append((k * 7 % 1009, " ".join(words)))
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(table(spark, rows), docs_per_chunk=16).collect()}
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(table(spark, rows), chunk_rows=16).collect()}
     assert out == classes(rows)
 
 
+def test_jaccard_join_finds_every_link(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(80)]
+    copies = [(3000 + k, " ".join([*base[: rng.randrange(70, 80)], f"x{rng.randrange(5)}"])) for k in range(60)]
+    all_rows = [*rows, *copies]
+    members, links = jaccard.joined(table(spark, all_rows), chunk_rows=16)
+    sets = {i: shingles(t) for i, t in all_rows}
+    want = {i: set() for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i != j and a and 100 * len(a & b) >= 80 * len(a | b):
+                want[i].add(j)
+    out = {r.doc_id: r for r in members.collect()}
+    assert {i: r.n_links for i, r in out.items()} == {i: len(x) for i, x in want.items()}
+    pairs = [(r.class_a, r.class_b) for r in links.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {tuple(sorted((out[i].class_id, out[j].class_id))) for i, x in want.items() for j in x if out[i].class_id != out[j].class_id}
+    assert all(out[i].class_id == (min(j for j in sets if sets[j] == s) if s else None) for i, s in sets.items())
+
+
 def test_jaccard_missing_and_repeated(spark):
     text = "a b c d e f g"
     rows = [(9, text), (4, text.upper()), (4, "z y x w v u"), (6, "z y x w v u"), (None, text), (1, None), (2, ""), (3, "a b"), (8, "A b")]

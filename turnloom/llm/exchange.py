@@ -1,20 +1,25 @@
 """Two-sided exchange between chunks of documents and hash buckets.
 
-Documents are dealt into chunks of a bounded number of rows. Each chunk sends, for every hash bucket, one binary
-row with its *distinct* keys; a bucket answers each chunk with one bit per key. A key that a third of all
-documents hold thus costs one entry per chunk, not one per document, and neither side ever gathers the documents
-of a key. The same exchange of documents by chunk serves every step that needs the texts again.
+Documents are written once, dealt into chunks of bounded bytes and rows. Each chunk sends, for every hash bucket that
+it has keys for, one binary row with its *distinct* keys; a bucket answers each chunk with one bit per key. A key that
+a third of all documents hold thus costs one entry per chunk, not one per document, and neither side ever gathers the
+documents of a key. The same exchange of documents by chunk serves every step that needs the texts again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Documents in a chunk, about; bounds what one Python worker holds.
-DOCS_PER_CHUNK = 1024
+from turnloom.llm import textbytes as B
+from turnloom.llm.storage import written
+
+#: Bytes of text and rows in a chunk at most (one longer text is a chunk of its own); bounds what a worker holds.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 22, 1 << 13
 
 SENT = "bucket long, chunk long, n long, keys binary, more binary"
 SENT_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
@@ -22,31 +27,79 @@ ANSWER = "chunk long, part long, bucket long, bits binary"
 ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
 
 
-def sizes(docs: DataFrame, docs_per_chunk: int) -> tuple[int, int]:
-    """(chunks, buckets) for a table: both grow with its rows."""
-    chunks = max(1, -(-docs.count() // docs_per_chunk))
-    return chunks, max(1, -(-chunks // 2))
+def chunk_numbers(sizes: np.ndarray, state: list[int], limit: int, rows: int) -> np.ndarray:
+    """Number of each row's chunk: rows in order, until a chunk is full. ``state``: (number, bytes, rows) so far."""
+    total, out, i = np.cumsum(sizes), np.empty(len(sizes), np.int64), 0
+    while i < len(sizes):
+        done = int(total[i - 1]) if i else 0
+        j = min(int(np.searchsorted(total, done + limit - state[1], "right")), i + rows - state[2])
+        if j <= i:
+            if state[2]:
+                state[:] = state[0] + 1, 0, 0
+                continue
+            j = i + 1
+        out[i:j] = state[0]
+        state[1:] = state[1] + int(total[j - 1]) - done, state[2] + j - i
+        i = j
+    return out
+
+
+def _deal(schema: pa.Schema, limit: int, rows: int, batches: int):
+    def deal(stream):
+        task, state = TaskContext.get().partitionId(), [0, 0, 0]
+        for batch in stream:
+            _, offsets = B.column_bytes(batch.column("text"))
+            numbers = chunk_numbers(np.diff(offsets), state, limit, rows) + (task << 40)
+            extra = [pa.array(np.full(len(numbers), task % batches, np.int32))] if batches else []
+            yield pa.RecordBatch.from_arrays([*(c.cast(t) for c, t in zip(batch.columns, schema.types)), pa.array(numbers), *extra], schema=schema)
+
+    return deal
+
+
+def dealt(docs: DataFrame, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS, carry: tuple[str, ...] = (), batches: int = 0) -> tuple[DataFrame, int]:
+    """(doc_id, text, carried columns as _name, chunk) as a written table, and the number of hash buckets for it.
+
+    The chunk is written with the row, so equal rows, and rows without an id, spread over chunks, and a step that is
+    run again after a lost executor sees the same chunks. With ``batches`` whole tasks are dealt into as many batches
+    and the table is laid out by the last column, ``batch``.
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
+    named_out = named.withColumn("chunk", F.lit(0).cast("long"))
+    out = (named_out.withColumn("batch", F.lit(0)) if batches else named_out).schema
+    table = written(named.mapInArrow(_deal(to_arrow_schema(out), limit, rows, batches), out), "chunks", ("batch",) if batches else ())
+    chunks = table.select("chunk").distinct().count()
+    return table, max(1, -(-chunks // 2))
+
+
+class Cuts:
+    """Where the occupied buckets start in ascending 64-bit hashes; buckets are equal ranges of hashes."""
 
+    def __init__(self, top: np.ndarray, buckets: int):
+        owner = (((top.astype(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        self.buckets, self.starts, self.size = owner[first], np.append(first, len(top)), len(top)
 
-def chunked(docs: DataFrame, chunks: int, *columns: Column | str) -> DataFrame:
-    """Columns and ``chunk``; rows are dealt by id and text, so that rows without an id spread too."""
-    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    def __iter__(self):
+        """(bucket, start, end) of each occupied bucket."""
+        return zip(self.buckets.tolist(), self.starts[:-1].tolist(), self.starts[1:].tolist())
 
+    def sent(self, chunk: int, make) -> pa.Table:
+        """One row for each occupied bucket; ``make`` gives the two binaries of a range of keys."""
+        rows = [(b, chunk, j - i, *make(i, j)) for b, i, j in self]
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, SENT_ARROW.types)], schema=SENT_ARROW)
 
-def bucket_cuts(top: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts in ascending 64-bit hashes; buckets are equal ranges of hashes."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(top, edges), len(top))
+    def answered(self, answers: pa.Table, part: int):
+        """(start, end, binary) of the answers of one part."""
+        mine = answers.filter(pa.array(np.asarray(answers.column("part")) == part)) if answers.num_rows else answers
+        at = np.searchsorted(self.buckets, np.asarray(mine.column("bucket")))
+        return zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), mine.column("bits")) if len(at) else ()
 
 
-def bits_of(answers: pa.Table, part: int, cuts: np.ndarray) -> np.ndarray:
+def bits_of(answers: pa.Table, part: int, cuts: Cuts) -> np.ndarray:
     """A chunk's answers as one boolean per distinct key, in the order sent; buckets without an answer say no."""
-    out = np.zeros(int(cuts[-1]), bool)
-    parts, buckets, bits = (answers.column(c) for c in ("part", "bucket", "bits"))
-    for p, b, raw in zip(parts.to_pylist(), buckets.to_pylist(), bits):
-        if p == part:
-            n = int(cuts[b + 1] - cuts[b])
-            out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(raw.as_buffer(), np.uint8), count=n).astype(bool)
+    out = np.zeros(cuts.size, bool)
+    for i, j, raw in cuts.answered(answers, part):
+        out[i:j] = np.unpackbits(np.frombuffer(raw.as_buffer(), np.uint8), count=j - i).astype(bool)
     return out
 
 

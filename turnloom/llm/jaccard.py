@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from turnloom.llm import exchange as X
 from turnloom.llm import textbytes as B
 from turnloom.llm.graphs import components
-from turnloom.llm.storage import written
+from turnloom.llm.storage import discard, written
 
 WIDTH, NUM, DEN = 5, 80, 100
 KEY_BYTES = 6
@@ -129,16 +129,11 @@ def _send_front(buckets: int, width: int, num: int, den: int):
         c.only(_class_rows(docs, notes))
         _, _, distinct, back = c.keys(_front_sizes(c.n, num, den))
         many = np.bincount(back, minlength=len(distinct)) > 1
-        return _rows(key[0].as_py(), X.bucket_cuts(distinct, buckets), lambda i, j: (X.packed(distinct[i:j], KEY_BYTES), np.packbits(many[i:j]).tobytes()))
+        return X.Cuts(distinct, buckets).sent(key[0].as_py(), lambda i, j: (X.packed(distinct[i:j], KEY_BYTES), np.packbits(many[i:j]).tobytes()))
 
     return send
 
 
-def _rows(chunk: int, cuts: np.ndarray, make) -> pa.Table:
-    rows = [(b, chunk, int(j - i), *make(i, j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-    return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 5, X.SENT_ARROW.types)], schema=X.SENT_ARROW)
-
-
 def _mark_front(table):
     keys = X.unpacked(X.joined(table, "keys"), KEY_BYTES)
     many = np.concatenate([np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=n) for m, n in zip(table.column("more"), table.column("n").to_pylist())])
@@ -151,7 +146,7 @@ def _mark_front(table):
 def _survivors(c: _Chunk, notes: pa.Table, buckets: int, num: int, den: int) -> np.ndarray:
     """Rows with enough shared shingles near the front."""
     front, row, distinct, back = c.keys(_front_sizes(c.n, num, den))
-    shared = X.bits_of(notes, _FRONT, X.bucket_cuts(distinct, buckets))[back]
+    shared = X.bits_of(notes, _FRONT, X.Cuts(distinct, buckets))[back]
     t = least_overlap(c.n, num, den)
     k = np.minimum(_first(c.n, t), _first(c.n, c.n))
     place = np.flatnonzero(front) - c.offsets[row]
@@ -168,7 +163,7 @@ def _send_all(buckets: int, width: int, num: int, den: int):
         c.only(_survivors(c, notes, buckets, num, den))
         _, _, distinct, back = c.keys(c.n)
         count = np.bincount(back, minlength=len(distinct))
-        return _rows(key[0].as_py(), X.bucket_cuts(distinct, buckets), lambda i, j: (X.packed(distinct[i:j], KEY_BYTES), count[i:j].astype("<u4").tobytes()))
+        return X.Cuts(distinct, buckets).sent(key[0].as_py(), lambda i, j: (X.packed(distinct[i:j], KEY_BYTES), count[i:j].astype("<u4").tobytes()))
 
     return send
 
@@ -188,11 +183,10 @@ def _count_all(table):
     return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 4, X.ANSWER_ARROW.types)], schema=X.ANSWER_ARROW)
 
 
-def _ranks_of(notes: pa.Table, cuts: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(cuts[-1]), np.uint8)
-    for part, b, raw in zip(notes.column("part").to_pylist(), notes.column("bucket").to_pylist(), notes.column("bits")):
-        if part == _ALL:
-            out[cuts[b] : cuts[b + 1]] = np.frombuffer(raw.as_buffer(), np.uint8)
+def _ranks_of(notes: pa.Table, cuts: X.Cuts) -> np.ndarray:
+    out = np.zeros(cuts.size, np.uint8)
+    for i, j, raw in cuts.answered(notes, _ALL):
+        out[i:j] = np.frombuffer(raw.as_buffer(), np.uint8)
     return out
 
 
@@ -214,7 +208,7 @@ def _make_sets(buckets: int, width: int, num: int, den: int):
         c.only(_class_rows(docs, notes))
         c.only(_survivors(c, notes, buckets, num, den))
         _, row, distinct, back = c.keys(c.n)
-        rank = _ranks_of(notes, X.bucket_cuts(distinct, buckets))[back]
+        rank = _ranks_of(notes, X.Cuts(distinct, buckets))[back]
         ids, out = c.ids.to_pylist(), []
         for i in np.flatnonzero(c.n):
             r, h = rank[c.offsets[i] : c.offsets[i + 1]], c.hash[c.offsets[i] : c.offsets[i + 1]]
@@ -282,18 +276,19 @@ def _compare(num: int, den: int):
 
 
 def compared(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Links (a, b, common) among pairs (query, member, n: shingles of the member)."""
-    pairs = written(pairs, "pairs")
+    """Links (a, b, common) among written pairs (query, member, n: shingles of the member)."""
     totals = written(pairs.groupBy("query").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks")), "blocks")
     placed = pairs.join(totals, "query").select("query", "member", F.pmod(F.xxhash64("member"), "blocks").alias("block"))
     body = sets.select("doc_id", "n", "shingles")
     members = placed.join(body, F.col("member") == F.col("doc_id")).select("query", "block", F.lit(False).alias("asks"), "doc_id", "n", "shingles")
     queries = placed.select("query", "block").distinct().join(body, F.col("query") == F.col("doc_id")).select("query", "block", F.lit(True).alias("asks"), "doc_id", "n", "shingles")
-    return written(members.unionByName(queries).groupBy("query", "block").applyInArrow(_compare(num, den), LINKS), "links")
+    out = written(members.unionByName(queries).groupBy("query", "block").applyInArrow(_compare(num, den), LINKS), "links")
+    discard(totals)
+    return out
 
 
-def _block_links(num: int, den: int):
-    """Links between the sets of two blocks, or within one, that connect labels not yet connected in this task."""
+def _block_links(num: int, den: int, every: bool):
+    """Links between the sets of two blocks, or within one: every one, or those that connect labels not yet connected."""
 
     def compare(key, table):
         ids, ns, labels, asks = (table.column(c).to_pylist() for c in ("doc_id", "n", "label", "asks"))
@@ -311,10 +306,10 @@ def _block_links(num: int, den: int):
         rows = []
         for k, q in enumerate(one):
             mine = top(labels[q])
-            others = [i for i in (two or one[k + 1 :]) if top(labels[i]) != mine]
+            others = [i for i in (two or one[k + 1 :]) if every or top(labels[i]) != mine]
             needs = [int(pair_overlap(ns[q], ns[i], num, den)) for i in others]
             for i, c in zip(others, tree_overlaps(sets[q], [sets[i] for i in others], needs)):
-                if c >= 0 and top(labels[i]) != top(labels[q]):
+                if c >= 0 and (every or top(labels[i]) != top(labels[q])):
                     root[top(labels[i])] = top(labels[q])
                     rows.append((ids[q], ids[i], c))
         return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 3, _LINKS_ARROW.types)], schema=_LINKS_ARROW)
@@ -322,12 +317,12 @@ def _block_links(num: int, den: int):
     return compare
 
 
-def block_links(rest: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def block_links(rest: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN, every: bool = False) -> DataFrame:
     """Links among classes that meet at the shingles of ``rest`` and have different labels.
 
     Classes that named the same pivot are cut into blocks of bounded size. Blocks that meet at a shingle, with
     sizes and positions that allow a link, are compared as wholes, so each set moves once for each partner block:
-    no row is made for a pair of classes unless it is a link that connects two labels.
+    no row is made for a pair of classes unless it is a link, and, but for ``every``, one that connects two labels.
     """
     classes = rest.groupBy("doc_id", "n", "label", "cluster").agg(F.count(F.lit(1)).alias("_c")).drop("_c")
     parts = classes.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("long").alias("parts"))
@@ -338,29 +333,79 @@ def block_links(rest: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN
     able = F.expr(f"least(a.most, b.most) * {num + den} >= (a.least + b.least) * {num} AND a.block <= b.block AND (a.low <> b.high OR a.high <> b.low)")
     pairs = met.alias("a").join(met.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & able).select(F.col("a.block").alias("one"), F.col("b.block").alias("two")).distinct()
     pairs = written(pairs, "pairs")
+    discard(met)
     body = placed.select(block.alias("block"), "doc_id", "label").join(sets.select("doc_id", "n", "shingles"), "doc_id")
     first = pairs.join(body, F.col("one") == F.col("block")).withColumn("asks", F.lit(True))
     second = pairs.filter("one <> two").join(body, F.col("two") == F.col("block")).withColumn("asks", F.lit(False))
-    return written(first.unionByName(second).drop("block").groupBy("one", "two").applyInArrow(_block_links(num, den), LINKS), "links")
+    out = written(first.unionByName(second).drop("block").groupBy("one", "two").applyInArrow(_block_links(num, den, every), LINKS), "links")
+    discard(placed, pairs)
+    return out
 
 
-def links_of(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Links that connect all classes that links connect; not each link within a component is looked for."""
-    met = sets.select("doc_id", "n", "own", "centre", F.posexplode("prefix").alias("place", "shingle"))
-    met = written(met.select("shingle", "doc_id", "n", "centre", (F.col("n") - F.col("own") - F.col("place")).alias("left")), "met")
-    pivots = met.groupBy("shingle").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    met = written(met.join(pivots, "shingle").drop("centre"), "shared")
+def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where two classes or more meet (shingle, doc_id, n, left, pivot), and the pivot that each class names most."""
+    every = sets.select("doc_id", "n", "own", "centre", F.posexplode("prefix").alias("place", "shingle"))
+    every = written(every.select("shingle", "doc_id", "n", "centre", (F.col("n") - F.col("own") - F.col("place")).alias("left")), "met")
+    pivots = every.groupBy("shingle").agg(F.max_by("doc_id", F.struct("centre", -F.col("doc_id"))).alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    met = written(every.join(pivots, "shingle").drop("centre"), "shared")
+    discard(every)
     named = met.filter("pivot <> doc_id").groupBy("doc_id", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    chosen = written(named.groupBy("doc_id", "n").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("query")).select("query", F.col("doc_id").alias("member"), "n"), "chosen")
+    chosen = named.groupBy("doc_id", "n").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("query")).select("query", F.col("doc_id").alias("member"), "n")
+    return met, written(chosen, "chosen")
+
+
+def _clustered(met: DataFrame, chosen: DataFrame) -> DataFrame:
+    at = chosen.select(F.col("member").alias("doc_id"), "query")
+    return met.join(at, "doc_id", "left").withColumn("cluster", F.coalesce("query", "doc_id")).drop("query")
+
+
+def connecting_links(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Links that connect all classes that links connect; not each link within a component is looked for."""
+    met, chosen = _meetings(sets)
     stars = compared(chosen, sets, num, den)
     at = written(components(stars.select("a", "b")), "stars")
     labelled = met.drop("pivot").join(at, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
-    labelled = written(labelled.join(chosen.select(F.col("member").alias("doc_id"), "query"), "doc_id", "left").withColumn("cluster", F.coalesce("query", "doc_id")).drop("query"), "labels")
+    labelled = written(_clustered(labelled, chosen), "labels")
+    discard(met, chosen, at)
     undone = labelled.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle")
-    return stars.unionByName(block_links(written(labelled.join(undone, "shingle"), "rest"), sets, num, den))
+    rest = written(labelled.join(undone, "shingle"), "rest")
+    discard(labelled)
+    more = block_links(rest, sets, num, den)
+    discard(rest)
+    return stars.unionByName(more)
+
+
+def all_links(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Every link (a, b, common) between two classes, once."""
+    met, chosen = _meetings(sets)
+    rest = written(_clustered(met.drop("pivot").withColumn("label", F.col("doc_id")), chosen), "rest")
+    discard(met, chosen)
+    out = block_links(rest, sets, num, den, every=True)
+    discard(rest)
+    return out
+
 
+class Classes:
+    """Documents in classes of equal shingle sets, and the sets of classes that may have a partner.
+
+    ``signed``: doc_id, n, sig1, sig2 of each row; ``classes``: n, sig1, sig2, rep.doc_id (the smallest); ``sets``.
+    """
 
-def linked(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, docs_per_chunk: int = X.DOCS_PER_CHUNK) -> DataFrame:
+    def __init__(self, docs: DataFrame, width: int, num: int, den: int, chunk_bytes: int, chunk_rows: int):
+        table, buckets = X.dealt(docs, chunk_bytes, chunk_rows)
+        groups = table.groupBy("chunk")
+        self.signed = written(groups.applyInArrow(_signatures(width), "doc_id long, chunk long, n long, sig1 long, sig2 long"), "signatures")
+        self.able = self.signed.filter("n > 0 AND doc_id IS NOT NULL")
+        self.classes = written(self.able.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "chunk")).alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+        reps = self.classes.select(F.col("rep.chunk").alias("chunk"), F.lit(_REP).cast("long").alias("part"), F.col("rep.doc_id").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
+        front = groups.cogroup(reps.groupBy("chunk")).applyInArrow(_send_front(buckets, width, num, den), X.SENT).groupBy("bucket").applyInArrow(_mark_front, X.ANSWER)
+        notes = written(front.unionByName(reps), "front")
+        counts = groups.cogroup(notes.groupBy("chunk")).applyInArrow(_send_all(buckets, width, num, den), X.SENT).groupBy("bucket").applyInArrow(_count_all, X.ANSWER)
+        self.sets = written(groups.cogroup(notes.unionByName(counts).groupBy("chunk")).applyInArrow(_make_sets(buckets, width, num, den), SETS), "sets")
+        discard(table, notes)
+
+
+def linked(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk_bytes: int = X.CHUNK_BYTES, chunk_rows: int = X.CHUNK_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) for each row.
 
     Takes doc_id and text; other columns are ignored. A text with fewer words than ``width`` has its whole sequence
@@ -368,23 +413,34 @@ def linked(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     component_id is its own. A row with a null doc_id links with nothing and has a null component_id. Rows that
     repeat a doc_id are one node with the links of each. An empty table gives an empty result.
     """
-    chunks, buckets = X.sizes(docs, docs_per_chunk)
-    groups = X.chunked(docs, chunks, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).groupBy("chunk")
-    signed = written(groups.applyInArrow(_signatures(width), "doc_id long, chunk long, n long, sig1 long, sig2 long"), "signatures")
-    able = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = written(able.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "chunk")).alias("rep")), "classes")
-    nothing = F.lit(None).cast("binary")
-    reps = classes.select(F.col("rep.chunk").alias("chunk"), F.lit(_REP).cast("long").alias("part"), F.col("rep.doc_id").alias("bucket"), nothing.alias("bits"))
-    front = groups.cogroup(reps.groupBy("chunk")).applyInArrow(_send_front(buckets, width, num, den), X.SENT).groupBy("bucket").applyInArrow(_mark_front, X.ANSWER)
-    notes = written(front.unionByName(reps), "front")
-    counts = groups.cogroup(notes.groupBy("chunk")).applyInArrow(_send_all(buckets, width, num, den), X.SENT).groupBy("bucket").applyInArrow(_count_all, X.ANSWER)
-    sets = written(groups.cogroup(notes.unionByName(counts).groupBy("chunk")).applyInArrow(_make_sets(buckets, width, num, den), SETS), "sets")
-    found = links_of(sets, num, den)
-    same = able.join(classes, ["n", "sig1", "sig2"]).select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("rep"))
+    c = Classes(docs, width, num, den, chunk_bytes, chunk_rows)
+    found = connecting_links(c.sets, num, den)
+    same = c.able.join(c.classes, ["n", "sig1", "sig2"]).select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("rep"))
     # Rows that repeat a doc_id with different texts tie their classes together.
     ties = same.groupBy("a").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     whole = written(components(found.select("a", "b").unionByName(ties)), "components")
-    named = classes.select("n", "sig1", "sig2", F.col("rep.doc_id").alias("rep")).join(whole, F.col("rep") == F.col("node"), "left")
+    named = c.classes.select("n", "sig1", "sig2", F.col("rep.doc_id").alias("rep")).join(whole, F.col("rep") == F.col("node"), "left")
     named = written(named.select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("of")), "named")
-    out = signed.join(named, ["n", "sig1", "sig2"], "left")
+    discard(c.sets, c.classes, whole)
+    out = c.signed.join(named, ["n", "sig1", "sig2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("of")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def joined(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk_bytes: int = X.CHUNK_BYTES, chunk_rows: int = X.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (members, links), no link between different sets left out.
+
+    ``members`` has one row for each row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with the same
+    set) and n_links, the number of other rows that it links with, equal sets included. ``links`` has each pair of
+    linked classes once: class_a, class_b, common (shingles in both). Rows without an id or without words have no
+    class and no links.
+    """
+    c = Classes(docs, width, num, den, chunk_bytes, chunk_rows)
+    found = all_links(c.sets, num, den)
+    rows = c.classes.select(F.col("rep.doc_id").alias("node"), "rows")
+    ends = found.selectExpr("a AS x", "b AS node").unionByName(found.selectExpr("b AS x", "a AS node"))
+    partners = ends.join(rows, "node").groupBy("x").agg(F.sum("rows").alias("others"))
+    sized = c.classes.select("n", "sig1", "sig2", F.col("rep.doc_id").alias("class_id"), "rows").join(partners, F.col("class_id") == F.col("x"), "left")
+    sized = written(sized.select("n", "sig1", "sig2", "class_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "classes")
+    out = c.signed.withColumn("known", F.col("doc_id").isNotNull()).join(sized, ["n", "sig1", "sig2"], "left")
+    members = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("class_id")).alias("class_id"), F.when(F.col("known"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return members, found.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "common")

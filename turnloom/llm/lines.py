@@ -1,13 +1,13 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased, as a 96-bit hash. Batches of
-documents bring sorted runs of (key, documents with it). Runs of one level are merged into one run of the next as
-soon as ``FANOUT`` of them have gathered, so each entry is rewritten a logarithmic number of times. Two uses:
+documents come one after another. A batch's distinct keys, sorted, are merge-anti-joined with the runs of earlier
+batches (keys that are settled there drop out) and what is left becomes a run of its own, a table in the shared
+folder. As soon as ``FANOUT`` runs of a level have gathered they are compacted into one of the next level, so each
+entry is rewritten a logarithmic number of times. Two uses:
 
-* ``drop_frequent_lines``: over one corpus. Each chunk of documents is a batch; runs live in the hash bucket that
-  owns their range of keys; when all have come they are compacted and each batch is merged against the result.
-* ``LineRuns``: over batches that arrive one after another. Runs are tables in a shared folder; a new batch is
-  merge-anti-joined with them, and what it adds becomes a run of its own.
+* ``drop_frequent_lines``: lines of many documents of one corpus; a key is settled once enough documents have it.
+* ``LineRuns.add``: batches that arrive over time; a key is settled by its first occurrence.
 """
 
 from __future__ import annotations
@@ -24,40 +24,53 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from turnloom.llm import exchange as X
 from turnloom.llm import textbytes as B
+from turnloom.llm.storage import discard, folder, scratch
 
-FANOUT = 8
+#: Runs of a level that are compacted into one; batches that a whole corpus is cut into.
+FANOUT, BATCHES = 3, 6
 KEY = 12
+RUN = "bucket long, keys binary, counts binary"
+_RUN_ARROW = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 OUT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-class SortedRuns:
-    """A levelled stack of sorted runs (keys, counts) held by one bucket."""
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted run of several, counts of equal keys added."""
+    if not keys:
+        return np.zeros(0, f"S{KEY}"), np.zeros(0, np.int64)
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(n, first) if len(first) else n
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, [[]]
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.levels[0].append((keys, counts))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(merged(self.levels[level]))
-            self.levels[level] = []
-            level += 1
+def _arrays(table: pa.Table, counts: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.frombuffer(x.as_py(), f"S{KEY}") for x in table.column("keys")], [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column(counts)]
 
-    def compacted(self) -> tuple[np.ndarray, np.ndarray]:
-        return merged([run for level in self.levels for run in level])
 
+def _run(bucket: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    rows = [(bucket, keys.tobytes(), np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes())] if len(keys) else []
+    return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 3, _RUN_ARROW.types)], schema=_RUN_ARROW)
 
-def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted run of several, counts of equal keys added."""
-    keys, counts = (np.concatenate(x) for x in zip(*runs))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
+
+def _fresh(settled: int):
+    """A batch's run: its keys without those that earlier runs hold in ``settled`` documents or more."""
+
+    def fresh(key, sent, runs):
+        keys, counts = merged(*_arrays(sent, "more"))
+        old, times = merged(*_arrays(runs, "counts"))
+        done = old[times >= settled]
+        at = np.minimum(np.searchsorted(done, keys), max(0, len(done) - 1))
+        new = done[at] != keys if len(done) else np.ones(len(keys), bool)
+        return _run(key[0].as_py(), keys[new], counts[new])
+
+    return fresh
+
+
+def _compacted(key, runs):
+    return _run(key[0].as_py(), *merged(*_arrays(runs, "counts")))
 
 
 class _Chunk:
@@ -98,28 +111,41 @@ class _Chunk:
 def _send(buckets: int, min_chars: int):
     def send(key, docs):
         c = _Chunk(docs, min_chars)
-        n, cuts = c.documents(), X.bucket_cuts(c.top, buckets)
-        rows = [(b, key[0].as_py(), int(j - i), c.keys[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-        return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 5, X.SENT_ARROW.types)], schema=X.SENT_ARROW)
+        n = c.documents()
+        return X.Cuts(c.top, buckets).sent(key[0].as_py(), lambda i, j: (c.keys[i:j].tobytes(), n[i:j].astype("<u4").tobytes()))
 
     return send
 
 
-def _mark(min_docs: int, fanout: int):
-    def mark(table):
-        runs, batches = SortedRuns(fanout), []
-        for raw, n in zip(table.column("keys"), table.column("more")):
-            keys = np.frombuffer(raw.as_py(), f"S{KEY}")
-            batches.append(keys)
-            runs.add(keys, np.frombuffer(n.as_py(), "<u4").astype(np.int64))
-        keys, counts = runs.compacted()
-        frequent = counts >= min_docs
-        return X.answer(table, 0, np.concatenate([frequent[np.searchsorted(keys, b)] for b in batches]))
+def _frequent(min_docs: int):
+    """Answers the chunks which of their keys have at least ``min_docs`` documents in the runs."""
+
+    def mark(key, sent, runs):
+        if not sent.num_rows:
+            return X.ANSWER_ARROW.empty_table()
+        keys, counts = merged(*_arrays(runs, "counts"))
+        return X.answer(sent, 0, np.concatenate([counts[np.searchsorted(keys, k)] >= min_docs for k in _arrays(sent, "more")[0]]))
 
     return mark
 
 
-def _rewrite(buckets: int, min_chars: int, keep_text: bool, carry: pa.Schema):
+def _repeated(key, sent, run):
+    """Answers the chunks which of their keys are not in the batch's run, or are, but came in an earlier chunk."""
+    if not sent.num_rows:
+        return X.ANSWER_ARROW.empty_table()
+    new, _ = merged(*_arrays(run, "counts"))
+    keys = _arrays(sent, "more")[0]
+    chunk = np.repeat(np.array(sent.column("chunk")), [len(k) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.lexsort((chunk, keys))
+    first = np.zeros(len(keys), bool)
+    first[order[np.append(True, keys[order][1:] != keys[order][:-1])]] = True
+    at = np.minimum(np.searchsorted(new, keys), max(0, len(new) - 1))
+    return X.answer(sent, 0, ~(first & (new[at] == keys)) if len(new) else np.ones(len(keys), bool))
+
+
+def _rewrite(buckets: int, min_chars: int, keep_text: bool, carry: pa.Schema, once: bool = False):
+    """Texts without the lines that the answers name; ``once``: nor a line that the chunk had before."""
     schema = pa.schema([*_OUT_ARROW, *carry])
 
     def rewrite(key, docs, answers):
@@ -128,7 +154,11 @@ def _rewrite(buckets: int, min_chars: int, keep_text: bool, carry: pa.Schema):
         c = _Chunk(docs, min_chars)
         drop = np.zeros(len(c.row), bool)
         if answers.num_rows:
-            drop[c.at] = X.bits_of(answers, 0, X.bucket_cuts(c.top, buckets))[c.group]
+            drop[c.at] = X.bits_of(answers, 0, X.Cuts(c.top, buckets))[c.group]
+        if once:
+            again = np.ones(len(c.at), bool)
+            again[np.unique(c.group, return_index=True)[1]] = False
+            drop[c.at] |= again
         dropped = np.bincount(c.row[drop], minlength=len(c.counts))
         raw, sums, texts, keep = c.buf.tobytes(), [], [], ~drop
         for i, n in enumerate(dropped):
@@ -142,77 +172,109 @@ def _rewrite(buckets: int, min_chars: int, keep_text: bool, carry: pa.Schema):
     return rewrite
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = FANOUT, keep_text: bool = True, docs_per_chunk: int = X.DOCS_PER_CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Drop every line whose key has at least ``min_chars`` code points and occurs in at least ``min_docs`` rows.
-
-    Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, n_lines, n_dropped, kept_sha256 and
-    kept_text (null unless keep_text), one row for each input row. A null or empty text is one empty line and
-    stays the empty text; a text that loses all lines becomes empty. Rows that repeat a doc_id, or have none,
-    count as documents of their own. An empty table gives an empty result. Columns named in ``carry`` come along.
-    """
-    chunks, buckets = X.sizes(docs, docs_per_chunk)
-    groups = X.chunked(docs, chunks, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry)).groupBy("chunk")
-    extra = docs.select(*carry).schema
-    answers = groups.applyInArrow(_send(buckets, min_chars), X.SENT).groupBy("bucket").applyInArrow(_mark(min_docs, fanout), X.ANSWER)
-    return groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(buckets, min_chars, keep_text, to_arrow_schema(extra)), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
-
-
 class LineRuns:
-    """Lines seen in earlier batches, as levelled runs in a shared folder.
+    """Line keys of earlier batches as levelled sorted runs in a shared folder, for one writer at a time.
 
-    Each level is a folder of run tables, sorted by key. ``add`` returns the batch's first occurrences of lines
-    that no earlier batch had, and stores their keys as a level-0 run; ``FANOUT`` runs of a level are compacted
-    into one of the next. Runs are written whole before older ones go, so a failed batch can be added again.
+    A batch's run and its result are written aside and published by one rename, under the batch's name; a batch that
+    failed before can be added again, and one that was added before returns its result and adds nothing. A compacted
+    run names the runs that it replaces and is published in the same way; replaced runs no longer count, whether or
+    not they have been deleted yet.
     """
 
-    SCHEMA = "key1 long, key2 long, n_docs long"
-
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, fanout: int = FANOUT, settled: int = 1):
+        self.spark, self.path, self.buckets, self.fanout, self.settled = spark, path.rstrip("/"), buckets, fanout, settled
 
-    def _children(self, path: str) -> list[str]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _children(self, *parts: str) -> list[str]:
+        fs, p = folder(self.spark, "/".join([self.path, *parts]))
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _complete(self, level: str) -> list[str]:
-        paths = [f"{self.path}/{level}/{r}" for r in self._children(f"{self.path}/{level}")]
-        return [p for p in paths if "_SUCCESS" in self._children(p)]
-
-    def runs(self) -> list[str]:
-        return [run for level in self._children(self.path) for run in self._complete(level)]
-
-    def seen(self) -> DataFrame:
-        """All keys of all runs; a key is in one run or, while compaction is under way, in several."""
-        paths = self.runs()
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
-
-    @staticmethod
-    def keyed(docs: DataFrame) -> DataFrame:
-        """doc_id, line_no, line, key1, key2 of every line with a non-empty key."""
-        line = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-        key = F.translate(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return line.withColumn("key", key).filter("key <> ''").withColumns({"key1": F.xxhash64("key"), "key2": F.xxhash64(F.lit(7), "key")}).drop("key")
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """First occurrences (smallest doc_id, then line number) in this batch of lines that are new to the runs."""
-        fresh = self.keyed(docs).join(self.seen().select("key1", "key2"), ["key1", "key2"], "left_anti")
-        firsts = fresh.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"), F.count_distinct("doc_id").alias("n_docs"))
-        run = f"{self.path}/0/{uuid.uuid4().hex}"
-        firsts.select("key1", "key2", "n_docs", "first").repartitionByRange("key1", "key2").sortWithinPartitions("key1", "key2").write.parquet(run)
-        added = self.spark.read.parquet(run).select("first.doc_id", "first.line_no", "first.line")
-        kept = f"{self.path}-added/{uuid.uuid4().hex}"
-        added.write.parquet(kept)
+    def _publish(self, aside: str, level: int, name: str) -> None:
+        fs, source = folder(self.spark, aside)
+        _, parent = folder(self.spark, f"{self.path}/{level}")
+        fs.mkdirs(parent)
+        if not fs.rename(source, folder(self.spark, f"{self.path}/{level}/{name}")[1]):
+            raise OSError(f"could not publish {level}/{name}")
+
+    def runs(self) -> list[tuple[int, str]]:
+        """(level, name) of the published runs that no other replaces."""
+        found = [(int(level), name) for level in self._children() if level.isdigit() for name in self._children(level)]
+        gone = {old for level, name in found for old in self._children(str(level), name, "replaces")}
+        return [(level, name) for level, name in found if f"{level}.{name}" not in gone]
+
+    def table(self, runs: list[tuple[int, str]] | None = None) -> DataFrame:
+        """bucket, keys and counts (packed, sorted by key) of some runs, all by default."""
+        paths = [f"{self.path}/{level}/{name}/run" for level, name in (self.runs() if runs is None else runs)]
+        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+
+    def _write_run(self, sent: DataFrame, aside: str) -> None:
+        sent.groupBy("bucket").cogroup(self.table().groupBy("bucket")).applyInArrow(_fresh(self.settled), RUN).write.mode("overwrite").option("compression", "zstd").parquet(f"{aside}/run")
+
+    def count(self, sent: DataFrame, batch: str) -> None:
+        """Add a batch's run, from its chunks' keys by bucket."""
+        if batch not in self._children("0"):
+            aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+            self._write_run(sent, aside)
+            self._publish(aside, 0, batch)
+        self._compact()
+
+    def add(self, docs: DataFrame, batch: str, min_chars: int = 1, chunk_rows: int = X.CHUNK_ROWS) -> DataFrame:
+        """The batch's texts without lines that earlier batches had; of a line repeated in the batch the first stays.
+
+        Takes doc_id and text and returns the columns of ``drop_frequent_lines``. "First" is by chunk, then row, so
+        it follows the order of the table where there is one. Lines whose key has fewer than ``min_chars`` code
+        points always stay. A null or empty text is one empty line. Rows without an id, or that repeat one, are
+        documents like others. An empty batch has an empty result.
+        """
+        if batch not in self._children("0"):
+            table, _ = X.dealt(docs, rows=chunk_rows)
+            groups = table.groupBy("chunk")
+            sent = groups.applyInArrow(_send(self.buckets, min_chars), X.SENT)
+            aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+            self._write_run(sent, aside)
+            run = self.spark.read.schema(RUN).parquet(f"{aside}/run")
+            answers = sent.groupBy("bucket").cogroup(run.groupBy("bucket")).applyInArrow(_repeated, X.ANSWER)
+            out = groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(self.buckets, min_chars, True, pa.schema([]), once=True), OUT)
+            out.write.option("compression", "zstd").parquet(f"{aside}/result")
+            discard(table)
+            self._publish(aside, 0, batch)
         self._compact()
-        return self.spark.read.parquet(kept)
+        return self.spark.read.schema(OUT).parquet(f"{self.path}/0/{batch}/result")
 
     def _compact(self, level: int = 0) -> None:
-        runs = self._complete(str(level))
+        runs = [run for run in self.runs() if run[0] == level]
         if len(runs) < self.fanout:
             return
-        both = self.spark.read.schema(self.SCHEMA).parquet(*runs).groupBy("key1", "key2").agg(F.sum("n_docs").alias("n_docs"))
-        both.repartitionByRange("key1", "key2").sortWithinPartitions("key1", "key2").write.parquet(f"{self.path}/{level + 1}/{uuid.uuid4().hex}")
-        for run in runs:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(run)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        name = uuid.uuid4().hex
+        aside = f"{self.path}/aside-{name}"
+        self.table(runs).groupBy("bucket").applyInArrow(_compacted, RUN).write.option("compression", "zstd").parquet(f"{aside}/run")
+        for old in runs:
+            fs, p = folder(self.spark, f"{aside}/replaces/{old[0]}.{old[1]}")
+            fs.mkdirs(p)
+        self._publish(aside, level + 1, name)
+        for old in runs:
+            fs, p = folder(self.spark, f"{self.path}/{old[0]}/{old[1]}/run")
+            fs.delete(p, True)
         self._compact(level + 1)
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = FANOUT, batches: int = BATCHES, keep_text: bool = True, chunk_bytes: int = X.CHUNK_BYTES, chunk_rows: int = X.CHUNK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Drop every line whose key has at least ``min_chars`` code points and occurs in at least ``min_docs`` rows.
+
+    Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, n_lines, n_dropped, kept_sha256 and
+    kept_text (null unless keep_text), one row for each input row. A null or empty text is one empty line and
+    stays the empty text; a text that loses all lines becomes empty. Rows that repeat a doc_id, or have none,
+    count as documents of their own. An empty table gives an empty result. Columns named in ``carry`` come along.
+    """
+    spark = docs.sparkSession
+    table, buckets = X.dealt(docs, chunk_bytes, chunk_rows, carry, batches)
+    runs = LineRuns(spark, scratch(spark, "line-runs"), buckets, fanout, min_docs)
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("chunk").applyInArrow(_send(buckets, min_chars), X.SENT)
+
+    for batch in range(batches):
+        runs.count(sent(table.filter(F.col("batch") == batch)), str(batch))
+    extra = docs.select(*carry).schema
+    groups = table.drop("batch").groupBy("chunk")
+    answers = sent(table.drop("batch")).groupBy("bucket").cogroup(runs.table().groupBy("bucket")).applyInArrow(_frequent(min_docs), X.ANSWER)
+    return groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(buckets, min_chars, keep_text, to_arrow_schema(extra)), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))

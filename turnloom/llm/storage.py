@@ -21,8 +21,40 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = folder(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and lost executors cost no recomputation.
+
+    ``by``: columns at the end of the rows that the table is laid out by. The table goes when the application ends,
+    or before with ``discard``.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        fs, p = folder(df.sparkSession, path)
+        fs.delete(p, True)

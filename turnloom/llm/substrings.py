@@ -18,7 +18,6 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from turnloom.llm import exchange as X
 from turnloom.llm import textbytes as B
@@ -95,17 +94,12 @@ class _Chunk:
 def _send_anchors(buckets: int):
     def send(key, docs):
         c = _Chunk(docs)
-        flags, cuts = c.shared_here(), X.bucket_cuts(c.distinct, buckets)
-        return _sent(key[0].as_py(), cuts, lambda i, j: (X.packed(c.distinct[i:j], ANCHOR_BYTES), np.packbits(flags[i:j]).tobytes()))
+        flags = c.shared_here()
+        return X.Cuts(c.distinct, buckets).sent(key[0].as_py(), lambda i, j: (X.packed(c.distinct[i:j], ANCHOR_BYTES), np.packbits(flags[i:j]).tobytes()))
 
     return send
 
 
-def _sent(chunk: int, cuts: np.ndarray, make) -> pa.Table:
-    rows = [(b, chunk, int(cuts[b + 1] - cuts[b]), *make(cuts[b], cuts[b + 1])) for b in range(len(cuts) - 1) if cuts[b + 1] > cuts[b]]
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, X.SENT_ARROW.types)], schema=X.SENT_ARROW)
-
-
 def _mark_anchors(table):
     keys = X.unpacked(X.joined(table, "keys"), ANCHOR_BYTES)
     flags = np.concatenate([np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=n) for m, n in zip(table.column("more"), table.column("n").to_pylist())])
@@ -125,13 +119,13 @@ def _send_windows(buckets: int):
         if not docs.num_rows or not answers.num_rows:
             return X.SENT_ARROW.empty_table()
         c = _Chunk(docs)
-        _, _, one, two, low = c.windows(X.bits_of(answers, 0, X.bucket_cuts(c.distinct, buckets)))
+        _, _, one, two, low = c.windows(X.bits_of(answers, 0, X.Cuts(c.distinct, buckets)))
 
         def make(i, j):
             least = low[i:j].min()
             return one[i:j].astype("<u8").tobytes() + two[i:j].astype("<u4").tobytes(), int(least).to_bytes(8, "little", signed=True) + _narrow(low[i:j] - least)
 
-        return _sent(key[0].as_py(), X.bucket_cuts(one, buckets), make)
+        return X.Cuts(one, buckets).sent(key[0].as_py(), make)
 
     return send
 
@@ -167,8 +161,8 @@ def _rewrite(buckets: int, keep_text: bool):
         c = _Chunk(docs)
         gone = np.zeros(len(c.row) + 1, np.int64)
         if answers.num_rows:
-            at, group, one, _, low = c.windows(X.bits_of(answers, 0, X.bucket_cuts(c.distinct, buckets)))
-            smaller = X.bits_of(answers, 1, X.bucket_cuts(one, buckets))
+            at, group, one, _, low = c.windows(X.bits_of(answers, 0, X.Cuts(c.distinct, buckets)))
+            smaller = X.bits_of(answers, 1, X.Cuts(one, buckets))
             at = at[smaller[group] | (c.id[c.row[at]] > low[group])]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + WINDOW, -1)
@@ -188,7 +182,7 @@ def _rewrite(buckets: int, keep_text: bool):
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, docs_per_chunk: int = X.DOCS_PER_CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, chunk_bytes: int = X.CHUNK_BYTES, chunk_rows: int = X.CHUNK_ROWS) -> DataFrame:
     """Drop the words covered by a 13-word window that also starts in a document with a smaller id.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256 and
@@ -198,9 +192,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, docs_per_chunk: int
     neither loses words nor makes others lose any; rows that repeat a doc_id don't affect one another. An empty
     table gives an empty result.
     """
-    chunks, buckets = X.sizes(docs, docs_per_chunk)
-    by_chunk = X.chunked(docs, chunks, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = by_chunk.groupBy("chunk")
+    table, buckets = X.dealt(docs, chunk_bytes, chunk_rows)
+    groups = table.groupBy("chunk")
     anchors = groups.applyInArrow(_send_anchors(buckets), X.SENT).groupBy("bucket").applyInArrow(_mark_anchors, X.ANSWER)
     windows = groups.cogroup(anchors.groupBy("chunk")).applyInArrow(_send_windows(buckets), X.SENT).groupBy("bucket").applyInArrow(_mark_windows, X.ANSWER)
     return groups.cogroup(anchors.unionByName(windows).groupBy("chunk")).applyInArrow(_rewrite(buckets, keep_text), OUT)
