@@ -121,6 +121,16 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_spreads_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "w " * 40, "a")] * 5000, "doc_id long, text string, source string").coalesce(2)
+    out = mixing.mix(docs, docs_per_shard=100)
+    plan = out.select("taken").collect()
+    assert len(plan) == 5000 and abs(sum(r.taken for r in plan) - 1.5 * 200000) <= 32 * 52
+    shards = docs.select(mixing.seeded(-1 - mixing.F.monotonically_increasing_id(), 17, "shard") % 50).toDF("s").groupBy("s").count().collect()
+    assert len(shards) == 50 and max(r["count"] for r in shards) < 200
+    assert sorted(r.taken for r in plan) == sorted(r.taken for r in mixing.mix(docs, docs_per_shard=100).collect())
+
+
 # --- language identification ---
 
 
@@ -173,17 +183,74 @@ def test_language_of_odd_texts(spark):
 # --- quality classifier ---
 
 
-def test_dual_descent_separates_and_meets_its_bounds():
+def test_dual_descent_separates():
     rng = np.random.default_rng(2)
     sets = [np.unique(np.append(rng.integers(0, 500, 30), [600 + k % 2, 700])) for k in range(200)]
     y = np.arange(200) % 2
     ratios = quality.log_count_ratios(sets, y)
     assert ratios[601] > 0 > ratios[600] and abs(ratios[700]) < 0.2
-    w, bias = quality.dual_descent(sets, y, ratios)
+    w, bias, _ = quality.dual_descent(sets, y, ratios)
     margins = np.array([quality.margin(w * ratios, bias, ratios, s) for s in sets])
     assert ((margins > 0) == (y == 1)).mean() > 0.98
 
 
+def test_dual_descent_meets_the_optimality_conditions():
+    """At the dual's solution each variable is at a bound or its gradient is 0, and w is the sum of the vectors."""
+    rng = np.random.default_rng(2)
+    y = (np.arange(240) % 3 == 0).astype(int)
+    sets = [np.unique(np.append(rng.integers(0, 500, 30), [600 + (k if rng.random() > 0.15 else 1 - k), 700])) for k in y]
+    ratios = quality.log_count_ratios(sets, y)
+    assert ratios[601] > ratios[700] > ratios[600]
+    w, bias, alpha = quality.dual_descent(sets, y, ratios, epochs=3000)
+    bound = np.where(y == 1, 1 / (2 * y.mean()), 1 / (2 * (1 - y.mean())))
+    sign = np.where(y == 1, 1.0, -1.0)
+    x = np.zeros((len(sets), quality.SIZE))
+    for row, s in zip(x, sets):
+        row[s] = ratios[s] / np.sqrt((ratios[s] ** 2).sum())
+    assert np.abs((alpha * sign) @ x - w).max() < 1e-3 and abs((alpha * sign).sum() - bias) < 1e-6
+    gradient = sign * (x @ w + bias) - 1
+    assert ((alpha >= 0) & (alpha <= bound)).all() and {(a == 0, a == b) for a, b in zip(alpha, bound)} >= {(True, False), (False, False)}
+    inside = (alpha > 0) & (alpha < bound)
+    assert np.abs(gradient[inside]).max() < 1e-2 and (gradient[alpha == 0] > -1e-2).all() and (gradient[alpha == bound] < 1e-2).all()
+    margins = np.array([quality.margin(w * ratios, bias, ratios, s) for s in sets])
+    assert np.allclose(margins, x @ w + bias, atol=1e-4)
+
+
+def test_network_equals_a_plain_convolution():
+    """Pooled filters and probabilities, computed position by position and filter by filter."""
+    rng = np.random.default_rng(5)
+    net = language.Network(["a", "b", "c"])
+    x = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
+    for row, got, p in zip(x, net.pooled(x), net.probabilities(x)):
+        want = []
+        for f in range(net.filters.shape[1]):
+            width = language.WIDTHS[f // language.FILTERS]
+            kernel = net.filters[: width * language.EMBED, f].reshape(width, language.EMBED)
+            assert not net.filters[width * language.EMBED :, f].any()
+            want.append(max(sum(float(net.embed[row[i + k]] @ kernel[k]) for k in range(width)) for i in range(len(row) - net.span + 1)) + net.bias[f])
+        assert np.allclose(want, got, atol=1e-4)
+        z = np.maximum(want, 0) @ net.out + net.out_bias
+        assert np.allclose(p, np.exp(z) / np.exp(z).sum(), atol=1e-4)
+
+
+def test_threshold_of_the_sample_at_any_size():
+    for total in (5_000, 10**6, 10**10, 10**15, 1 << 62):
+        bound = language.threshold(total, 3000)
+        assert bound is not None and abs((bound + (1 << 63)) * total / (1 << 64) - 3800) < 1.5 + total / (1 << 60)
+        assert -(1 << 63) < bound < 1 << 63
+    assert language.threshold(3800, 3000) is None and language.threshold(0, 3000) is None
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(20))  # repeated rows too
+    nets = [language.trained(d.select("doc_id", "text", "lang"), train_docs=60) for d in (docs, docs.repartition(7))]
+    assert all(np.array_equal(getattr(nets[0], n), getattr(nets[1], n)) for n in ("embed", "filters", "bias", "out", "out_bias"))
+    scores = [{(r.doc_id, r.score) for r in quality.classify(d, lab, train_docs=100).collect()} for d, lab in ((docs, labels), (docs.repartition(7), labels.repartition(3)))]
+    assert scores[0] == scores[1] and len({s for _, s in scores[0]}) > 50
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -122,11 +122,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def drawn(rows: DataFrame, total: int, wanted: int, *by: Column) -> DataFrame:
+    """About 1.25 x ``wanted`` of ``total`` rows, those with the smallest ``draw``, a 64-bit hash of ``by``; all if few.
+
+    Hash and bound are compared as whole numbers, so the share is right for any number of rows.
+    """
+    bound = threshold(total, wanted)
+    out = rows.withColumn("draw", F.xxhash64(*by))
+    return out if bound is None else out.filter(F.col("draw") < F.lit(bound).cast("long"))
+
+
+def threshold(total: int, wanted: int) -> int | None:
+    """Bound on a signed 64-bit hash that about 1.25 x ``wanted`` + 50 of ``total`` rows are below; None for all."""
+    most = wanted + wanted // 4 + 50
+    return None if total <= most else (1 << 64) * most // total - (1 << 63)
+
+
 def _samples(per_doc: int):
+    schema = pa.schema([("draw", pa.int64()), ("lang", pa.string()), ("bytes", pa.binary())])
+
     def take(batches):
         for batch in batches:
             buf, offsets = B.column_bytes(batch.column("text"))
-            lang = batch.column("lang").to_pylist()
+            lang, draw = batch.column("lang").to_pylist(), batch.column("draw").to_pylist()
             rows = []
             for i, j, b, o in B.pieces(buf, offsets):
                 x, row, _ = windows(b, o)
@@ -134,25 +152,29 @@ def _samples(per_doc: int):
                 first = np.cumsum(counts) - counts
                 for k in np.flatnonzero(counts):
                     chosen = np.unique(np.linspace(0, counts[k] - 1, min(per_doc, counts[k])).astype(int))
-                    rows += [{"lang": lang[i + k], "bytes": x[first[k] + c].tobytes()} for c in chosen]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("bytes", pa.binary())]))
+                    rows.append({"draw": draw[i + k], "lang": lang[i + k], "bytes": x[first[k] + chosen].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return take
 
 
 def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = SEED) -> Network | None:
-    """A network for the languages in ``lang``; None without labelled text. At most ``train_docs`` rows are used."""
+    """A network for the languages in ``lang``; None without labelled text. At most ``train_docs`` rows are used.
+
+    They are the rows with the smallest hashes of id, text and lang; at most ``TRAIN_WINDOWS`` windows of each come to
+    the driver, in the order of the hashes, so the same table gives the same network however it is partitioned.
+    """
     labelled = docs.filter("lang IS NOT NULL AND text <> ''")
-    share = min(1.0, train_docs / max(1, labelled.count()))
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
-    rows = drawn.select("lang", "text").limit(train_docs + train_docs // 4).mapInArrow(_samples(TRAIN_WINDOWS), "lang string, bytes binary").toArrow()
+    some = drawn(labelled, labelled.count(), train_docs, F.col("doc_id"), F.col("text"), F.col("lang"), F.lit(seed))
+    cut = some.select("draw", "lang", "text").mapInArrow(_samples(TRAIN_WINDOWS), "draw long, lang string, bytes binary")
+    rows = cut.orderBy("draw", "lang", "bytes").limit(train_docs).toArrow()
     if not rows.num_rows:
         return None
-    lang = np.array(rows.column("lang").to_pylist())
-    x = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    order = np.lexsort((*x.T[:8][::-1], lang))  # the same order whatever the partitions
-    languages, y = np.unique(lang[order], return_inverse=True)
-    return Network([str(v) for v in languages], seed).train(x[order], y, seed)
+    parts = rows.column("bytes").to_pylist()
+    lang = np.repeat(np.array(rows.column("lang").to_pylist()), [len(b) // WINDOW for b in parts])
+    x = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WINDOW)
+    languages, y = np.unique(lang, return_inverse=True)
+    return Network([str(v) for v in languages], seed).train(x, y, seed)
 
 
 def _predict(sent):

@@ -7,7 +7,8 @@
 3. Selection: a shard's documents in seeded order are one stream of blocks. With a quota of q blocks of n, every
    block is taken q // n times, and of the rest every n / (q mod n)-th from a seeded offset on.
 
-Only counts per source and shard are gathered; sizes move once, by (source, shard), and a shard is bounded.
+Sizes move once, by (source, shard). A source has at most ``SHARDS`` shards, so a source's apportionment is one small
+task; a shard has ``DOCS_PER_SHARD`` documents, or a ``SHARDS``-th of its source where that is more, as numbers only.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from turnloom.llm.storage import written
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS = 32
-DOCS_PER_SHARD = 1024
+DOCS_PER_SHARD, SHARDS = 1024, 1 << 16
 SEED = 17
 
 
@@ -79,22 +80,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     A null text has size 0 and nothing is taken of it; a null source is a source of its own, after all others. Of
     no row more than ``cap`` times its size is taken. A source's taken words differ from its target by about a
-    block for each shard at most. Rows that repeat a doc_id share their place in the order, one after another. The
-    same input gives the same result on every run. An empty table gives an empty result.
+    block for each shard at most. Rows that repeat a doc_id share their place in the order, one after another; rows
+    without one are spread over the shards by their place in the table. The same table gives the same result on
+    every run. An empty table gives an empty result. There is one row for each source in the steps that weigh
+    sources against one another (one task): millions of sources pass, as numbers only.
     """
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")), "sizes")
+    row = F.when(F.col("doc_id").isNull(), -1 - F.monotonically_increasing_id())
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), row.alias("row")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     aims = targets(sources, weights, share, cap).join(sources.select(F.col("source").alias("s2"), "docs"), F.expr("source <=> s2")).drop("s2")
     everyone = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     aims = aims.withColumn("all_blocks", F.floor(F.sum("target").over(everyone) / block_words + 0.5).cast("long"))
-    aims = apportioned(aims, [], [F.col("source").isNull(), F.col("source")], "target", "all_blocks").select("source", "source_size", "target", F.ceil(F.col("docs") / docs_per_shard).cast("long").alias("shards"), F.col("quota").alias("blocks"))
+    aims = apportioned(aims, [], [F.col("source").isNull(), F.col("source")], "target", "all_blocks").select("source", "source_size", "target", F.least(F.ceil(F.col("docs") / docs_per_shard), F.lit(SHARDS)).cast("long").alias("shards"), F.col("quota").alias("blocks"))
     aims = written(aims, "targets")
     a = aims.withColumnRenamed("source", "s2")
-    placed = sized.join(a, F.expr("source <=> s2")).drop("s2").withColumn("shard", seeded(F.coalesce(F.col("doc_id"), F.lit(-1)), seed, "shard") % F.col("shards"))
+    placed = sized.join(a, F.expr("source <=> s2")).drop("s2").withColumn("shard", seeded(F.coalesce("doc_id", "row"), seed, "shard") % F.col("shards"))
     parts = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     quotas = apportioned(parts, ["source"], ["shard"], "words", "blocks").select(F.col("source").alias("s3"), F.col("shard").alias("shard3"), "words", "quota")
     rows = placed.join(quotas, F.expr("source <=> s3 AND shard = shard3")).drop("s3", "shard3")
-    stream = W.partitionBy("source", "shard").orderBy(seeded(F.col("doc_id"), seed, "order"), "doc_id", "size")
+    stream = W.partitionBy("source", "shard").orderBy(seeded(F.coalesce("doc_id", "row"), seed, "order"), "doc_id", "size")
     n = F.ceil(F.col("words") / block_words).cast("long")
     rows = rows.withColumns({"end": F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)), "n": n})
     rows = rows.withColumn("quota", F.least("quota", F.floor(F.lit(cap) * F.col("n")).cast("long")))

@@ -98,7 +98,7 @@ seats AS (
 ),
 won AS (SELECT source, count(*) AS blocks FROM seats WHERE place <= (SELECT n FROM blocks) GROUP BY source),
 placed AS (
-  SELECT s.doc_id, s.source, s.size, a.source_size, a.target, coalesce(w.blocks, 0) AS blocks, {_drawn("shard", "coalesce(s.doc_id, -1)")} % CAST(ceil(a.docs / 1024.0) AS BIGINT) AS shard
+  SELECT s.doc_id, s.source, s.size, a.source_size, a.target, coalesce(w.blocks, 0) AS blocks, {_drawn("shard", "coalesce(s.doc_id, -1)")} % CAST(least(ceil(a.docs / 1024.0), 65536) AS BIGINT) AS shard
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN won w ON s.source IS NOT DISTINCT FROM w.source
 ),
 parts AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, min(blocks) AS blocks FROM placed GROUP BY source, shard),

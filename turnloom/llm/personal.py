@@ -5,9 +5,10 @@ Base spans are what the fixed patterns find: e-mail addresses, IP addresses, car
 The random field scores whole candidate segments of one to ``LONGEST`` words by features of the entire span (shape,
 digits, check sums, brackets, neighbouring words). A bounded-entity dynamic program over segment ends chooses
 boundaries and kinds jointly; words outside entities are segments of length one. Weights are trained here by
-gradient ascent on the exact conditional likelihood of generated sentences. Every entity feature needs a digit or an
-@ in the span's first and last word, so a text decomposes, without loss, at words farther than ``LONGEST`` from any
-such word. A segment is bounded in words, not in characters. Spans that touch a base span give way to it.
+gradient ascent on the exact conditional likelihood of generated sentences. Every entity feature needs a marked first
+and last word, one with a digit, an @ or a run of ``KEY_CHARS`` characters that keys are made of, so a text decomposes,
+without loss, at words farther than ``LONGEST`` from any such word. A segment is bounded in words, not in characters.
+Spans that touch a base span give way to it.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from turnloom.llm import textbytes as B
 
 BASE = ("email", "ip", "card", "phone")
-#: Kinds that the random field tells apart; the last is not among the base kinds.
-KINDS = (*BASE, "secret")
-LONGEST = 5
+#: Kinds that the random field tells apart; the last three are not among the base kinds.
+KINDS = (*BASE, "secret", "iban", "ssn")
+LONGEST, KEY_CHARS = 7, 20
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
 
@@ -83,11 +84,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the random field -----------------------------------------------------------------------------------------
 
-_MARKED = re.compile(r"[0-9@]")
+_MARKED = re.compile(r"[0-9@]|[A-Za-z_+/=-]{20}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\Z")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _KEY = re.compile(r"[A-Za-z0-9_+/=-]+\Z")
 _TRIM = "\"'`.,;:!?()[]{}<>=#$%&*|"
-_CUES = {"token": "secret", "key": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "apikey": "secret", "api_key": "secret", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "mail": "email", "email": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip"}
+_CUES = {"token": "secret", "key": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "apikey": "secret", "api_key": "secret", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "mail": "email", "email": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "iban": "iban", "account": "iban", "ssn": "ssn", "social": "ssn", "security": "ssn"}
+
+
+def iban_holds(span: str) -> bool:
+    """Whether an IBAN's check digits fit: letters as 10 to 35, the first four characters last, modulo 97."""
+    plain = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
 def core(text: str, start: int, end: int) -> tuple[int, int]:
@@ -124,6 +133,10 @@ def features(text: str, words: list[tuple[int, int]], i: int, j: int) -> list[st
         out.append("phone shape")
     if not letters and re.fullmatch(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", span):
         out.append("groups of four")
+    if _SSN.match(span):
+        out.append("ssn shape")
+    if _IBAN.match(span):
+        out.append("iban holds" if iban_holds(span) else "iban fails")
     parts = span.split(".")
     if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
         out.append("dotted quad" if all(len(p) < 4 and int(p) < 256 for p in parts) else "large quad")
@@ -132,13 +145,15 @@ def features(text: str, words: list[tuple[int, int]], i: int, j: int) -> list[st
         out.append("at")
         if left and "." in right.strip(".") and "@" not in right and not any(c.isspace() for c in span):
             out.append("address shape")
-    if j - i == 1 and letters and n and "@" not in span:
+    if j - i == 1 and letters and "@" not in span:
         body = span.rsplit("=", 1)[-1].strip("\"'")
         if _KEY.match(body):
             kind = "hex" if _HEX.match(body) else "key"
             length = "long" if len(body) >= 32 else "medium" if len(body) >= 20 else "short"
             out.append(f"{kind},{length}")
-            if kind == "key" and length != "short":
+            if not n:
+                out.append(f"no digits,mixed={sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:])) >= 8},{length}")
+            elif kind == "key" and length != "short":
                 out.append(f"mixed={sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:])) >= 6}")
     for k in range(max(0, i - 3), i):
         cue = _CUES.get(text[words[k][0] : words[k][1]].strip(_TRIM).lower())
@@ -188,9 +203,9 @@ class Field:
                 j = i
         return out[::-1]
 
-    def gradient(self, text: str, words: list[tuple[int, int]], truth: list[tuple[str, int, int]]) -> dict[tuple[str, str], float]:
+    def gradient(self, ends: list[list[tuple[int, list[str]]]], truth: list[tuple[str, int, int]]) -> dict[tuple[str, str], float]:
         """Gradient of the log likelihood of a segmentation, by the forward-backward recursion over segment ends."""
-        ends, n = self.candidates(text, words), len(words)
+        n = len(ends) - 1
         arcs = [(i, j, kind, f, self.score(kind, f)) for j in range(n + 1) for i, f in ends[j] for kind in KINDS]
         fore, aft = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         fore[0] = aft[n] = 0.0
@@ -215,10 +230,10 @@ class Field:
     def train(self, sentences: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, seed: int = 1) -> Field:
         rng = np.random.default_rng(seed)
         square: dict[tuple[str, str], float] = {}
+        seen = [(self.candidates(text, word_list(text)), truth) for text, truth in sentences]
         for _ in range(epochs):
-            for k in rng.permutation(len(sentences)):
-                text, truth = sentences[k]
-                for key, g in self.gradient(text, word_list(text), truth).items():
+            for k in rng.permutation(len(seen)):
+                for key, g in self.gradient(*seen[k]).items():
                     g -= decay * self.weights.get(key, 0.0)
                     square[key] = square.get(key, 1e-2) + g * g
                     self.weights[key] = self.weights.get(key, 0.0) + rate * g / square[key] ** 0.5
@@ -257,15 +272,25 @@ def generated(count: int = 1200, seed: int = 4) -> list[tuple[str, list[tuple[st
     def key():
         return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), rng.integers(24, 44))) + digits(1)
 
+    def letters(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), n))
+
+    def iban():
+        head, body = some("DE", "FR", "GB", "ES", "NL"), some("", "ABNA", "NWBK") + digits(some(14, 18, 20))
+        plain = next(f"{head}{k:02d}{body}" for k in range(2, 99) if iban_holds(f"{head}{k:02d}{body}"))
+        return plain if rng.random() < 0.5 else " ".join(plain[k : k + 4] for k in range(0, len(plain), 4))
+
     make = {
         "email": lambda: f"{word()}{some('', '.' + word(), digits(2))}@{word()}{some('', digits(1))}.{some('com', 'org', 'example.com')}",
         "ip": lambda: ".".join(str(rng.integers(0, some(256, 256, 100, 10))) for _ in range(4)),
         "card": card,
         "phone": phone,
-        "secret": lambda: some("", f'token{some("=", ":")}') + some("", '"') + some("".join(rng.choice(list("0123456789abcdef"), some(32, 40, 64))) + digits(1), key()),
+        "secret": lambda: some("", f'token{some("=", ":")}') + some("", '"') + some("".join(rng.choice(list("0123456789abcdef"), some(32, 40, 64))) + digits(1), key(), some("sk-", "", "ghp_") + letters(rng.integers(24, 60))),
+        "iban": iban,
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
     }
     cues = {k: [c for c, kind in _CUES.items() if kind == k] for k in make}
-    plain = (lambda: digits(rng.integers(1, 7)), lambda: str(rng.integers(1900, 2100)), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: word() + digits(2), lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: digits(rng.integers(7, 22)), lambda: f"{digits(3)}.{some('300', '999', '256')}.{digits(2)}.{digits(1)}", lambda: "@" + word() + digits(1), lambda: f"{word()}-{digits(3)}-{word()}", lambda: f"{digits(3)} {digits(3)} {digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: "".join(rng.choice(list("0123456789abcdef"), 8)), lambda: word(12) + digits(1) + word(12), lambda: f"{word()}@{digits(2)}")
+    plain = (lambda: digits(rng.integers(1, 7)), lambda: str(rng.integers(1900, 2100)), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: word() + digits(2), lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: digits(rng.integers(7, 22)), lambda: f"{digits(3)}.{some('300', '999', '256')}.{digits(2)}.{digits(1)}", lambda: "@" + word() + digits(1), lambda: f"{word()}-{digits(3)}-{word()}", lambda: f"{digits(3)} {digits(3)} {digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: "".join(rng.choice(list("0123456789abcdef"), 8)), lambda: word(12) + digits(1) + word(12), lambda: f"{word()}@{digits(2)}", lambda: word(28), lambda: "-".join(word() for _ in range(6)), lambda: "_".join(word(6) for _ in range(5)), lambda: f"https://{word()}.example/{word()}/{word(9)}-{word(9)}-{word(8)}", lambda: f"{word(4).title()}{word(5).title()}{word(6).title()}{word(7).title()}", lambda: "=" * 30, lambda: f"{digits(2)}-{digits(3)}-{digits(2)}", lambda: f"AB{digits(2)} {digits(4)} {digits(3)}")
     out = []
     for _ in range(count):
         text, truth = "", []
@@ -297,12 +322,20 @@ def trained() -> Field:
 _CUE_BYTE = np.zeros(256, np.int64)
 _CUE_BYTE[48:58] = 1
 _CUE_BYTE[64] = 1
+_KEY_BYTE = np.zeros(256, bool)
+_KEY_BYTE[65:91] = _KEY_BYTE[97:123] = True
+_KEY_BYTE[[43, 45, 47, 61, 95]] = True  # + - / = _
 
 
 def marked_texts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts with an ASCII digit or an @; others hold no span of any kind."""
+    """Texts with an ASCII digit, an @ or a long run of key characters; others hold no span of any kind."""
     seen = np.append(0, np.cumsum(_CUE_BYTE[buf]))
-    return np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]])
+    marked = seen[offsets[1:]] > seen[offsets[:-1]]
+    breaks = np.concatenate([[-1], np.flatnonzero(~_KEY_BYTE[buf]), [len(buf)]])
+    runs = np.flatnonzero(np.diff(breaks) > KEY_CHARS)  # a run may cross texts; a text too many does no harm
+    for s, e in zip(breaks[runs] + 1, breaks[runs + 1]):
+        marked[np.searchsorted(offsets, s, "right") - 1 : np.searchsorted(offsets, e, "left")] = True
+    return np.flatnonzero(marked)
 
 
 def field_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -369,7 +402,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """Counts and spans of personal data for each row: doc_id, n_<kind> of the base kinds, base_sha256, spans.
 
     ``spans`` lists kind:start:end, by kind, then start, in code points with the end exclusive: the base spans and
-    those that the random field adds (also of kind secret). A null, empty or clean text has counts of 0 and no
+    those that the random field adds (also of the kinds secret, iban and ssn). A null, empty or clean text has counts of 0 and no
     spans. Texts are read whole; rows that repeat are judged one by one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(trained())

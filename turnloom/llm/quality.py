@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm import textbytes as B
-from turnloom.llm.language import remainder
+from turnloom.llm.language import drawn, remainder
 
 #: Buckets of bigrams (exact) and of trigrams (hashed).
 BIGRAMS, TRIGRAMS = 1 << 16, 1 << 16
@@ -53,8 +53,8 @@ def _sample(batches):
     marks = Marks()
     for batch in batches:
         buf, offsets = B.column_bytes(batch.column("text"))
-        sets = [np.flatnonzero(marks.of(buf[offsets[i] : offsets[i + 1]])).astype("<u4").tobytes() for i in range(len(offsets) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(sets, pa.binary())], names=["doc_id", "good", "features"])
+        sets = [np.packbits(marks.of(buf[offsets[i] : offsets[i + 1]]) > 0).tobytes() for i in range(len(offsets) - 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("doc_id"), batch.column("good"), pa.array(sets, pa.binary())], names=["draw", "doc_id", "good", "features"])
 
 
 class Model:
@@ -76,8 +76,8 @@ def log_count_ratios(sets: list[np.ndarray], y: np.ndarray, smoothing: float = S
     return np.log(shares[1] / shares[0]).astype(np.float32)
 
 
-def dual_descent(sets: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Weights of the scaled indicators and the bias of the L1-loss support vector machine.
+def dual_descent(sets: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights of the scaled indicators, bias and dual variables of the L1-loss support vector machine.
 
     Vectors are scaled to unit length, so that long texts don't outweigh short ones. One dual variable is optimised
     at a time, in a new random order each epoch, until no projected gradient is left.
@@ -105,7 +105,7 @@ def dual_descent(sets: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost
                 alpha[i] = new
         if worst < 1e-3:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -136,7 +136,7 @@ def fitted(ids: np.ndarray, sets: list[np.ndarray], y: np.ndarray, seed: int = S
         train = ~fold
     part = [s for s, k in zip(sets, train) if k]
     ratios = log_count_ratios(part, y[train])
-    w, bias = dual_descent(part, y[train], ratios)
+    w, bias, _ = dual_descent(part, y[train], ratios)
     w = w * ratios
     margins = np.array([margin(w, bias, ratios, s) for s, k in zip(sets, fold) if k])
     return Model(np.stack([w, ratios * ratios]), bias, *logistic(margins, y[fold]))
@@ -170,22 +170,23 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     Learns from labels.quality (0 or 1) of rows whose crc32(doc_id) modulo ``folds`` isn't ``held_out``; a score
     reads nothing but the text. A document with several labels counts with the larger. Null and empty texts have
     no features and get the score of the bias. If a class has no labels, all texts get the share of the other,
-    smoothed; without any labels that is 0.5. Rows without a doc_id are scored, but not learned from.
+    smoothed; without any labels that is 0.5. Rows without a doc_id are scored, but not learned from. Of at most
+    ``train_docs`` labelled ids, those with the smallest hashes, one row each teaches, in the order of the hashes.
     """
     marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
     marked = marked.filter(remainder(F.col("doc_id"), folds) != held_out)
-    share = min(1.0, train_docs / max(1, marked.count()))
-    drawn = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else marked
+    some = drawn(marked, marked.count(), train_docs, F.col("doc_id"), F.lit(seed))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most train_docs * 5 / 4 ids are sent to all executors.
-    sample = rows.join(F.broadcast(drawn.limit(train_docs + train_docs // 4)), "doc_id").select("doc_id", "good", "text")
-    taught = sample.mapInArrow(_sample, "doc_id long, good int, features binary").toArrow()
+    # At most train_docs ids are sent to all executors; a row of features has at most SIZE bits, and of rows that
+    # share an id one is taken, so what comes to the driver is bounded.
+    ids = some.orderBy("draw", "doc_id").limit(train_docs)
+    sample = rows.join(F.broadcast(ids), "doc_id").select("draw", "doc_id", "good", "text")
+    features = sample.mapInArrow(_sample, "draw long, doc_id long, good int, features binary")
+    taught = features.groupBy("draw", "doc_id", "good").agg(F.max("features").alias("features")).orderBy("draw", "doc_id").toArrow()
     if not taught.num_rows:
         model = Model(None, 0.0, 0.0, 0.0)
     else:
-        sets = [np.frombuffer(s.as_buffer(), "<u4") for s in taught.column("features")]
-        ids, y = np.array(taught.column("doc_id")), np.array(taught.column("good"))
-        order = np.lexsort((np.array([len(s) for s in sets]), ids))
-        model = fitted(ids[order], [sets[i] for i in order], y[order], seed)
+        sets = [np.flatnonzero(np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=SIZE)).astype(np.uint32) for s in taught.column("features")]
+        model = fitted(np.array(taught.column("doc_id")), sets, np.array(taught.column("good")), seed)
     scored = rows.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "text")
     return scored.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), OUT)
