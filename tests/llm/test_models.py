@@ -70,6 +70,13 @@ def test_cutoffs_reject_outliers_and_keep_good_documents(spark):
     out = {r.doc_id: r for r in rules.judged(docs, labels).collect()}
     assert all(out[i].kept for i, _ in good)
     assert not any(out[i].kept for i, _ in bad) and out[5000].reasons == ["symbols"]
+    # The same by the query's SQL, where the cutoffs decide.
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", labels.toPandas())
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    sql = Counter(con.execute(f"SELECT {', '.join(names)} FROM ({oracle_sql()['op6_quality_rules']})").fetchall())
+    assert sql == Counter(tuple(r[n] for n in names) for r in out.values()) and sum(not k[-1] for k in sql) >= 30
 
 
 # --- mixing ---

@@ -33,6 +33,13 @@ def test_memory_of_pretokens_may_overflow(monkeypatch):
         assert count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
+def test_very_long_pretokens():
+    """A million characters without a break: unspaced script, symbols, letters, one letter; work follows the merges."""
+    rng, library, count = random.Random(8), Tokenizer.from_file(PATH), tokens.counter(_merges())
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(100_000)), "".join(rng.choices("$#%&*^=+-_/", k=200_000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "a" * 1_000_000, "".join(rng.choices("aab", k=5000)), "ab" * 3000]
+    assert count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "hello world", "x"), (3, "hello world", "x"), (3, "hello world", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

@@ -36,15 +36,16 @@ def without(text: Column, characters: str) -> Column:
     return text
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts behind the rules, for each row; null texts count as empty.
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the counts behind the rules, for each row, and columns to carry as _name; null texts count as empty.
 
     Repeated windows are found on hashes that carry their position in the low bits, so that one sort of a
     primitive array brings equal ones together; those found are then compared as words.
     """
-    f = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    f = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
+    kept = [f"_{c}" for c in carry]
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(without(x, SPACES)) > 0)
-    f = f.select("doc_id", F.length("text").alias("chars"), F.length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"), F.length(without(F.col("text"), SYMBOLS)).alias("plain"), F.length(without(F.col("text"), "!")).alias("calm"), lines.alias("lines"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"))
+    f = f.select("doc_id", *kept, F.length("text").alias("chars"), F.length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"), F.length(without(F.col("text"), SYMBOLS)).alias("plain"), F.length(without(F.col("text"), "!")).alias("calm"), lines.alias("lines"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"))
     f = f.select("*", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     whole = F.slice("h", F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(0)))
     f = f.withColumn("grams", F.transform(whole, lambda x, i: F.xxhash64(x, *(F.get(F.col("h"), i + k) for k in range(1, WINDOW)))))
@@ -65,7 +66,7 @@ def features(docs: DataFrame) -> DataFrame:
     starts = F.sort_array(F.transform(twice, lambda x: x["p"]))
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(starts, zero, lambda a, p: F.struct((p + WINDOW).alias("end"), (a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
-    return f.select("doc_id", "n_words", "word_chars", (F.col("chars") - F.col("plain")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.when(F.col("some"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"), (F.col("chars") - F.col("calm")).cast("long").alias("n_exclaims"))
+    return f.select("doc_id", "n_words", "word_chars", (F.col("chars") - F.col("plain")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.when(F.col("some"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"), (F.col("chars") - F.col("calm")).cast("long").alias("n_exclaims"), *kept)
 
 
 def base_failed() -> Column:
@@ -114,14 +115,15 @@ def cutoffs(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return walk.select("stratum", "rule", F.array_max(accepted)["cutoff"].alias("cutoff")).filter("cutoff IS NOT NULL")
 
 
-def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts, base_failed, kept and reasons (names of the rules that reject) for each row of ``docs``.
 
     Takes doc_id and text, and labels with doc_id and quality; other columns are ignored. A null or empty text has
     no words and fails the base rules. Rows that repeat a doc_id are judged one by one. Without labels only the
-    base rules apply. At most rules x strata cutoffs (20) pass through the driver.
+    base rules apply. At most rules x strata cutoffs (20) pass through the driver. Columns named in ``carry`` come along as
+    _name.
     """
-    found = written(features(docs), "features")
+    found = written(features(docs, carry), "features")
     limits: dict[str, dict[int, int]] = {}
     for row in cutoffs(found, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), alpha, delta).collect():
         limits.setdefault(row.rule, {})[row.stratum] = row.cutoff

@@ -3,11 +3,14 @@
 Texts are split into pre-tokens with the vocabulary's pattern. The distinct pre-tokens of a batch are laid out as
 one ragged numpy array of symbols; in each round every sequence finds its lowest-rank pair of neighbours and merges
 all its occurrences at once, left to right, until no sequence has a mergeable pair. The symbols that survive are
-the tokens. Counts of pre-tokens are kept between batches up to ``MEMO`` entries.
+the tokens. A pre-token of ``LONG`` bytes or more would need a pass over all its symbols in each of many rounds; its
+rounds take the same steps in the same order, but find the places of the lowest rank by rank, so the work follows the
+merges. Counts of pre-tokens are kept between batches up to ``MEMO`` entries and ``MEMO_CHARS`` characters.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,7 +25,9 @@ from turnloom.llm import textbytes as B
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose counts a worker keeps.
-MEMO = 1 << 18
+MEMO, MEMO_CHARS = 1 << 18, 1 << 24
+#: Bytes from which a pre-token is merged alone.
+LONG = 1 << 10
 #: Characters of distinct pre-tokens merged together.
 ROUND_CHARS = 1 << 20
 
@@ -54,8 +59,62 @@ class Merges:
         self.byte = np.array([vocab[c] for c in byte_characters()], np.int64)
         self.special = sorted((t["content"] for t in description.get("added_tokens", [])), key=len, reverse=True)
 
+    def ranks(self, key: np.ndarray) -> np.ndarray:
+        """Index of each pair's merge, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def count_long(self, part: bytes) -> int:
+        """Tokens of one long byte string: round by round the places of the lowest rank, left to right."""
+        symbols = self.byte[np.frombuffer(part, np.uint8)]
+        n = len(symbols)
+        found = self.ranks(symbols[:-1] * self.base + symbols[1:])
+        symbols, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[int, list[int]] = {}  # by rank
+        index = {}
+        for i in np.flatnonzero(found >= 0).tolist():
+            rank = int(self.rank[found[i]])
+            index[rank] = int(found[i])
+            places.setdefault(rank, []).append(i)
+        ranks, left = list(places), n
+        heapq.heapify(ranks)
+        known = {}  # merge of each pair of symbols met, or -1
+        while ranks:
+            rank = heapq.heappop(ranks)
+            merge = index[rank]
+            key, into = int(self.keys[merge]), int(self.into[merge])
+            for i in sorted(places.pop(rank)):
+                j = after[i]
+                if j >= n or symbols[i] < 0 or symbols[i] * self.base + symbols[j] != key:
+                    continue
+                k = after[j]
+                symbols[i], symbols[j], after[i] = into, -1, k
+                left -= 1
+                if k < n:
+                    before[k] = i
+                for a, b in ((before[i], i), (i, k)):
+                    if a < 0 or b >= n:
+                        continue
+                    pair = symbols[a] * self.base + symbols[b]
+                    if pair not in known:
+                        at = int(np.searchsorted(self.keys, pair))
+                        known[pair] = at if at < len(self.keys) and int(self.keys[at]) == pair else -1
+                    at = known[pair]
+                    if at >= 0:
+                        r = int(self.rank[at])
+                        if r not in places:
+                            places[r], index[r] = [], at
+                            heapq.heappush(ranks, r)
+                        places[r].append(a)
+        return left
+
     def counts(self, parts: list[bytes]) -> np.ndarray:
         """Tokens of each byte string."""
+        long = [i for i, p in enumerate(parts) if len(p) >= LONG]
+        if long:
+            out = self.counts([b"" if len(p) >= LONG else p for p in parts])
+            out[long] = [self.count_long(parts[i]) for i in long]
+            return out
         sizes = np.array([len(p) for p in parts], np.int64)
         symbols = self.byte[np.frombuffer(b"".join(parts), np.uint8)]
         owner = np.repeat(np.arange(len(parts)), sizes)
@@ -93,6 +152,7 @@ def counter(merges: Merges, pattern: str = PATTERN):
     find = regex.compile(pattern).findall
     special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
     memo: dict[str, int] = {}
+    held = [0]  # characters of the keys of memo
 
     def learn(new: set[str]) -> None:
         part, size = [], 0
@@ -116,9 +176,11 @@ def counter(merges: Merges, pattern: str = PATTERN):
                 out[i] = len(cut) // 2
             tokens += [(i, find(s)) for s in stretches]
         new = set().union(*(t for _, t in tokens)).difference(memo)
-        if len(memo) + len(new) > MEMO:
+        if len(memo) + len(new) > MEMO or held[0] > MEMO_CHARS:
             memo.clear()
+            held[0] = 0
             new = set().union(*(t for _, t in tokens))
+        held[0] += sum(map(len, new))
         learn(new)
         for i, t in tokens:
             out[i] += sum(map(memo.__getitem__, t))
