@@ -21,9 +21,9 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows that share a doc_id stay if one of them would."""
-    judged = rules.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _with_ids(docs.select(*COLUMNS), judged.filter("kept"))
+    """Documents that the quality rules keep, each row by its own verdict."""
+    judged = rules.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=COLUMNS[1:])
+    return judged.filter("kept").select("doc_id", *(F.col(f"_{c}").alias(c) for c in COLUMNS[1:]))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
