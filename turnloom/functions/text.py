@@ -66,13 +66,13 @@ def repeats_phrase(words: list[str], least_words: int) -> bool:
 def is_repeated_phrase(text: Column, least_words: int = 2) -> Column:
     """Whether the whole text is a phrase of at least so many words, twice or more. Texts of any length are judged whole.
 
-    Words are runs of Unicode letters, digits, marks and apostrophes of the text in form NFKC with cases folded.
+    Words are runs of Unicode letters and digits of the text in form NFKC with cases folded.
     """
 
     def judge(texts: pd.Series) -> pd.Series:
         import regex
 
-        word = regex.compile(r"[\p{L}\p{N}\p{M}']+")
+        word = regex.compile(r"[\p{L}\p{N}]+")
         return pd.Series([None if t is None else repeats_phrase(word.findall(unicodedata.normalize("NFKC", t).casefold()), least_words) for t in texts], dtype=object)
 
     return F.pandas_udf(judge, BooleanType())(text)

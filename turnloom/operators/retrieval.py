@@ -59,10 +59,27 @@ def top(scored: DataFrame, k: int, key: str, by: str = "score") -> DataFrame:
     return scored.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def fused(semantic: DataFrame, lexical: DataFrame, key: str, offset: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists of (query, key, place)."""
+def fused(semantic: DataFrame, lexical: DataFrame, key: str, offset: int = 60, bonus: DataFrame | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of two ranked lists of (query, key, place), and points of ``bonus`` (query, key, points)."""
     both = semantic.select("query", key, "place").unionByName(lexical.select("query", key, "place"))
-    return both.groupBy("query", key).agg(F.sum(1.0 / (offset + F.col("place"))).alias("score"))
+    points = both.select("query", key, (1.0 / (offset + F.col("place"))).alias("points"))
+    points = points if bonus is None else points.unionByName(bonus.select("query", key, "points"))
+    return points.groupBy("query", key).agg(F.sum("points").alias("score"))
+
+
+def title_bonus(questions: DataFrame, rows: DataFrame, query_key: str, text: str, key: str, title: str, listed: DataFrame, k: int, points: float = 0.04, least: int = 4) -> DataFrame:
+    """(query, key, points) for rows whose title, of at least ``least`` characters, occurs in the question, cases aside.
+
+    Every such row has the points. As all rows without a place in ``listed`` (query, key) score alike, the first k by
+    key of each title are enough for a list of k; distinct titles, not rows, meet the questions.
+    """
+    titles = rows.filter(F.length(title) >= least).select(title).distinct()
+    named = titles.join(questions.select(F.col(query_key).alias("query"), F.lower(text).alias("_q")), F.expr(f"contains(_q, lower({title}))")).select("query", title)
+    mine = rows.select(key, title)
+    first = F.row_number().over(W.partitionBy("query", title).orderBy(key))
+    firsts = named.join(mine, title).withColumn("_n", first).filter(F.col("_n") <= k).select("query", key)
+    placed = listed.select("query", key).distinct().join(mine, key).join(named, ["query", title], "left_semi").select("query", key)
+    return firsts.unionByName(placed).distinct().withColumn("points", F.lit(points))
 
 
 def neighbours(hits: DataFrame, rows: DataFrame, key: str, place: str, reach: int = 1) -> DataFrame:

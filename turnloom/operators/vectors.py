@@ -100,11 +100,12 @@ def medoids(rows: DataFrame, keys: list[str], row_key: str, vector: str = "embed
 QUERY_BLOCK = 4096
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding", digits: int | None = None) -> DataFrame:
     """The k rows with the largest cosine to each query vector, ties by row key: exact search of a stated query set.
 
     Queries meet all rows in blocks of about ``QUERY_BLOCK``, each of which is sent to all tasks. A task passes on its
-    best k rows per query only, as the ranking filter is applied before the shuffle too.
+    best k rows per query only, as the ranking filter is applied before the shuffle too. With ``digits`` similarities
+    are rounded before they are ranked, so that sums in another order give the same places.
     """
     q = queries.select(F.col(query_key).alias("query"), F.col(vector).alias("_q"))
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
@@ -114,6 +115,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key
         part = q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else q
         pairs = body.crossJoin(F.broadcast(part)).filter("query <> match")
         scored = pairs.select("query", "match", V.cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+        scored = scored if digits is None else scored.withColumn("similarity", quantized(F.col("similarity"), digits))
         place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "match"))
         best = scored.withColumn("place", place).filter(F.col("place") <= k)
         out = best if out is None else out.unionByName(best)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import intervals, live, retrieval, sequence, vectors
+from turnloom.plans import captions, intervals, live, retrieval, sequence, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval, live]
+    return [intervals, vectors, sequence, retrieval, live, captions]
 
 
 def queries() -> dict:

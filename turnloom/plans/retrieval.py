@@ -46,18 +46,24 @@ def hash_embedding(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    return R.bm25(_tokens(spark, sf_dir), "doc_id", "tokens", _questions(spark, sf_dir), "item_id", "tokens")
+    scored = R.bm25(_tokens(spark, sf_dir), "doc_id", "tokens", _questions(spark, sf_dir), "item_id", "tokens")
+    return scored.withColumn("score", quantized(F.col("score")))  # before places are given: sums have no fixed order
 
 
 def bm25_topk(spark, sf_dir):
-    return R.top(_bm25(spark, sf_dir), 30, "doc_id").select("query", "doc_id", quantized(F.col("score")).alias("score"))
+    return R.top(_bm25(spark, sf_dir), 30, "doc_id").select("query", "doc_id", "score")
 
 
 def rrf_search(spark, sf_dir):
     d = R.hashed_vectors(_tokens(spark, sf_dir), "doc_id", "tokens").withColumn("doc_id", F.col("doc_id"))
     q = R.hashed_vectors(_questions(spark, sf_dir), "item_id", "tokens").withColumn("item_id", -1 - F.col("item_id"))
-    near = V.nearest(q, d, 30, "item_id", "doc_id").select((-1 - F.col("query")).alias("query"), F.col("match").alias("doc_id"), "place")
-    return R.top(R.fused(near, R.top(_bm25(spark, sf_dir), 30, "doc_id"), "doc_id"), 30, "doc_id").select("query", "doc_id", quantized(F.col("score")).alias("score"))
+    near = V.nearest(q, d, 30, "item_id", "doc_id", digits=6).select((-1 - F.col("query")).alias("query"), F.col("match").alias("doc_id"), "place")
+    lexical = R.top(_bm25(spark, sf_dir), 30, "doc_id")
+    questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id % 50 = 0")
+    listed = near.select("query", "doc_id").unionByName(lexical.select("query", "doc_id"))
+    bonus = R.title_bonus(questions, _docs(spark, sf_dir), "item_id", "text", "doc_id", "source", listed, 30)
+    scored = R.fused(near, lexical, "doc_id", bonus=bonus).withColumn("score", quantized(F.col("score"), 9))
+    return R.top(scored, 30, "doc_id").select("query", "doc_id", quantized(F.col("score")).alias("score"))
 
 
 def evidence_neighbours(spark, sf_dir):
@@ -182,7 +188,7 @@ _ASCII = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
 _BM = f"""d AS (SELECT doc_id, {_tok('text')} AS w FROM documents), q AS (SELECT item_id AS query, unnest(list_distinct({_tok('text')})) AS t FROM benchmark WHERE item_id % 50 = 0),
 n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM d), tf AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 bm AS (SELECT q.query, tf.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / greatest(1.0::DOUBLE, a)))) AS score FROM tf JOIN df ON tf.t = df.t JOIN q ON tf.t = q.t, n GROUP BY ALL),
-bmtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM bm) WHERE place <= 30)"""
+bmtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_q("score")} DESC, doc_id) AS place FROM bm) WHERE place <= 30)"""
 
 
 def _hashed(source: str, key: str) -> str:
@@ -206,7 +212,7 @@ SQL = {
     "token_jaccard": f"WITH t AS (SELECT session_id, idx, {_ASCII} AS w FROM turns), p AS (SELECT *, lag(w) OVER (PARTITION BY session_id ORDER BY idx) AS p FROM t), c AS (SELECT session_id, idx, w, p, len(list_intersect(list_distinct(w), list_distinct(p))) AS i, len(list_distinct(list_concat(w, p))) AS u, coalesce(list_sum(list_transform(list_distinct(w), lambda x: least(len(list_filter(w, lambda y: y = x)), len(list_filter(p, lambda y: y = x))))), 0) AS m FROM p WHERE p IS NOT NULL) SELECT session_id, idx, {_q('CASE WHEN len(w) > 0 AND len(p) > 0 THEN i::DOUBLE / u ELSE 0 END')} AS jaccard, {_q('CASE WHEN len(w) > 0 AND len(p) > 0 THEN m::DOUBLE / least(len(w), len(p)) ELSE 0 END')} AS overlap FROM c",
     "hash_embedding": f"WITH t AS (SELECT session_id * 100000 + idx AS k, session_id, idx, {_tok('text')} AS w FROM turns), h AS {_hashed('t', 'k')}, f AS (SELECT t.session_id, t.idx, coalesce(h.e, list_transform(range(64), lambda i: 0.0::DOUBLE)) AS e FROM t LEFT JOIN h ON t.k = h.k) SELECT session_id, idx, list_transform(e, lambda x: {_q('CASE WHEN list_dot_product(e, e) > 0 THEN x / sqrt(list_dot_product(e, e)) ELSE 0 END')}) AS embedding FROM f",
     "bm25_topk": f"WITH {_BM} SELECT query, doc_id, {_q('score')} AS score FROM bmtop",
-    "rrf_search": f"WITH {_BM}, hd AS {_hashed('d', 'doc_id')}, qd AS (SELECT item_id, {_tok('text')} AS w FROM benchmark WHERE item_id % 50 = 0), hq AS {_hashed('qd', 'item_id')}, s AS (SELECT item_id AS query, doc_id, list_dot_product(hq.e, hd.e) / nullif(sqrt(list_dot_product(hq.e, hq.e)) * sqrt(list_dot_product(hd.e, hd.e)), 0) AS c FROM hq, hd), st AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY coalesce(c, 0) DESC, doc_id) AS place FROM s), u AS (SELECT query, doc_id, place FROM st WHERE place <= 30 UNION ALL SELECT query, doc_id, place FROM bmtop), f AS (SELECT query, doc_id, sum(1.0::DOUBLE / (60 + place)) AS score FROM u GROUP BY ALL) SELECT query, doc_id, {_q('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 30",
+    "rrf_search": f"WITH {_BM}, hd AS {_hashed('d', 'doc_id')}, qd AS (SELECT item_id, {_tok('text')} AS w FROM benchmark WHERE item_id % 50 = 0), hq AS {_hashed('qd', 'item_id')}, s AS (SELECT item_id AS query, doc_id, list_dot_product(hq.e, hd.e) / nullif(sqrt(list_dot_product(hq.e, hq.e)) * sqrt(list_dot_product(hd.e, hd.e)), 0) AS c FROM hq, hd), st AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY {_q('coalesce(c, 0)')} DESC, doc_id) AS place FROM s), u AS (SELECT query, doc_id, place FROM st WHERE place <= 30 UNION ALL SELECT query, doc_id, place FROM bmtop), b AS (SELECT item_id AS query, doc_id, 0.04::DOUBLE AS points FROM benchmark q, documents d WHERE item_id % 50 = 0 AND length(source) >= 4 AND contains(lower(q.text), lower(source))), p AS (SELECT query, doc_id, 1.0::DOUBLE / (60 + place) AS points FROM u UNION ALL SELECT * FROM b), f AS (SELECT query, doc_id, {_q('sum(points)', 9)} AS score FROM p GROUP BY query, doc_id) SELECT query, doc_id, {_q('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 30",
     "evidence_neighbours": "SELECT session_id, idx, speaker FROM turns t WHERE EXISTS (SELECT 1 FROM turns h WHERE h.session_id = t.session_id AND abs(h.idx - t.idx) <= 1 AND contains(h.text, 'than'))",
     "exact_term_rows": f"SELECT session_id, idx, CAST(matched AS INT) AS matched FROM (SELECT session_id, idx, start_ms, len(list_intersect(list_distinct({_tok('text')}), ['please', 'answer', 'tion', 'thre', 'than'])) AS matched FROM turns) WHERE matched > 0 ORDER BY matched DESC, start_ms, session_id, idx LIMIT 6",
     "cue_extraction": f"WITH {_CUES} SELECT session_id, idx, type, number FROM cues",

@@ -56,10 +56,10 @@ def repeated_phrases(spark, sf_dir):
 
 
 def exact_repeats(spark, sf_dir):
-    """Lines of a document that are one phrase repeated, of any length; the SQL below stops at 200 characters and ASCII words."""
+    """Lines of a document, of any length, that are one phrase of two words or more, repeated."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(T.is_repeated_phrase(F.col("line"), 1)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    return lines.filter(T.is_repeated_phrase(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def ewma_state(spark, sf_dir):
@@ -123,7 +123,7 @@ SQL = {
     "head_fill": f"WITH {_ROWS}, n AS (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns, lead(speaker) OVER w AS ls FROM rows_ WINDOW w AS (PARTITION BY session_id ORDER BY idx)) SELECT session_id, idx, speaker, CASE WHEN speaker IS NULL AND end_ms - start_ms <= 3500 AND start_ms - pe >= 100 AND ns - end_ms <= 100 THEN ls ELSE speaker END AS fixed FROM n",
     "context_anchor": f"WITH {_ROWS}, a AS (SELECT session_id, idx, CASE WHEN duration_ms >= 2000 THEN speaker END AS mark FROM rows_), b AS (SELECT session_id, idx, last_value(mark IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS left_anchor, first_value(mark IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS right_anchor FROM a) SELECT *, CASE WHEN left_anchor IS NOT DISTINCT FROM right_anchor THEN left_anchor WHEN left_anchor IS NULL THEN right_anchor WHEN right_anchor IS NULL THEN left_anchor END AS suggested FROM b",
     "repeated_phrases": "WITH l AS (SELECT doc_id AS session_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), t AS (SELECT session_id, idx, array_to_string(regexp_extract_all(lower(line), '[a-z0-9'']+'), ' ') AS speaker, 0 AS duration_ms FROM l), m AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR speaker IS DISTINCT FROM lag(speaker) OVER w THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY session_id ORDER BY idx)), r AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT session_id, any_value(speaker) AS phrase, count(*) AS times, CAST(min(idx) AS INT) AS first_idx FROM r WHERE len(string_split(speaker, ' ')) <= 8 GROUP BY session_id, run HAVING count(*) >= 2",
-    "exact_repeats": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, regexp_extract_all(lower(line), '[a-z0-9'']+') AS w FROM l WHERE length(line) < 200), p AS (SELECT doc_id, len(w) > 1 AND list_bool_or(list_transform(range(1, len(w) // 2 + 1), lambda k: len(w) % k = 0 AND w[1 : len(w) - k] = w[k + 1 : len(w)])) AS yes FROM t) SELECT doc_id, count(*) AS lines FROM p WHERE yes GROUP BY doc_id",
+    "exact_repeats": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+') AS w FROM l), p AS (SELECT doc_id, len(w) > 3 AND list_bool_or(list_transform(list_filter(range(2, len(w) // 2 + 1), lambda k: len(w) % k = 0), lambda k: w[1 : len(w) - k] = w[k + 1 : len(w)])) AS yes FROM t) SELECT doc_id, count(*) AS lines FROM p WHERE yes GROUP BY doc_id",
     "ewma_state": "WITH l AS (SELECT session_id, event_id, " + ", ".join(f"lag(hold_ms, {k}) OVER w AS h{k}" for k in range(4)) + " FROM probes WINDOW w AS (PARTITION BY session_id ORDER BY tick_ms, event_id)) SELECT session_id, event_id, " + _q("(" + " + ".join(f"coalesce(h{k} * 0.55::DOUBLE * {(1 - 0.55) ** k!r}::DOUBLE, 0)" for k in range(4)) + ") / (" + " + ".join(f"CASE WHEN h{k} IS NULL THEN 0 ELSE {0.55 * (1 - 0.55) ** k!r}::DOUBLE END" for k in range(4)) + ")") + " AS ema FROM l",
     "vad_spans": f"WITH {_SPANS} SELECT * FROM spans",
     "vad_padded": f"WITH {_SPANS}, w AS (SELECT session_id, greatest(0, start_ms - 200) AS s, end_ms + 350 AS e FROM spans), r AS (SELECT *, max(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w), k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 850 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r) SELECT session_id, min(s) AS start_ms, max(e) AS end_ms FROM k GROUP BY session_id, g",

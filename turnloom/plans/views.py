@@ -29,6 +29,17 @@ SELECT CAST(FLOOR(vec_id/50) AS BIGINT) AS session_id, CAST(vec_id%50 AS BIGINT)
 FROM embeddings""",
 }
 
+#: Rows with the turns of phrase that caption rules look for, one kind for each remainder of idx + session.
+CAPTIONS = (
+    "'Thanks for watching!'", "'So, thank you for watching my talk.'", "'Subtitles by the Amara.org community'", "'Captions at amara org today'", "'Amara spoke first'", "'Captions by NicoSubs'",
+    "'(LAUGHTER) and then he left'", "'uh um hmm'", "'♪ la la love ♪'", "'oh um uh na yes'", "'Well... I think so… maybe not...'", "'hello , world ! It is , fine .'", "'he said \"no.\"'", "'Please subscribe to my channel'",
+    "'catch this on YouTube'", "'hit the notification bell'", "CONCAT('  spaced   out', CHR(9), 'text ')", "'iPhone sales rose'", "'ärger über Größe'", "NULL", "'it''s what it''s about'",
+)
+VIEWS["captions"] = f"""
+SELECT session_id, idx, speaker, start_ms, end_ms,
+ CASE (session_id+idx)%29 {" ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(CAPTIONS))} ELSE text END AS text
+FROM ({VIEWS["turns"]}) t"""
+
 
 def with_views(sql: str) -> str:
     """The SQL with every derived view that it names put in front."""
