@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import captions, intervals, live, retrieval, rows, sequence, vectors
+from turnloom.plans import captions, intervals, live, memory, retrieval, rows, sequence, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval, live, captions, rows]
+    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory]
 
 
 def queries() -> dict:
