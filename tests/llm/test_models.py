@@ -271,6 +271,15 @@ def test_quality_on_held_out_documents(spark):
         assert o.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and o.predicted == (o.score >= 0.7)
 
 
+def test_features_survive_packing():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 4095, 4096, 60000, quality.SIZE):
+        on = np.zeros(quality.SIZE, np.float32)
+        on[rng.permutation(quality.SIZE)[:n]] = 1
+        raw = quality.packed(on)
+        assert len(raw) <= quality.SIZE // 8 and (quality.unpacked(np.frombuffer(raw, np.uint8)) == np.flatnonzero(on)).all()
+
+
 def test_quality_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (3, "abc", "q"), (3, "abc", "q"), (None, "abc", "q"), (4, "x" * 300000, "q")], "doc_id long, text string, quality string")
     for labels in ([], [(3, 1), (1, None)], [(3, 1), (4, 0), (1, 1), (2, 0), (8, 0), (None, 1)]):

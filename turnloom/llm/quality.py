@@ -49,11 +49,21 @@ class Marks:
         return self.on
 
 
+def packed(on: np.ndarray) -> bytes:
+    """A set of features as 32-bit numbers or, where that is shorter, as one bit each."""
+    ids = np.flatnonzero(on).astype("<u4")
+    return ids.tobytes() if 4 * len(ids) < SIZE // 8 else np.packbits(on > 0).tobytes()
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    return raw.view("<u4") if len(raw) < SIZE // 8 else np.flatnonzero(np.unpackbits(raw, count=SIZE)).astype(np.uint32)
+
+
 def _sample(batches):
     marks = Marks()
     for batch in batches:
         buf, offsets = B.column_bytes(batch.column("text"))
-        sets = [np.packbits(marks.of(buf[offsets[i] : offsets[i + 1]]) > 0).tobytes() for i in range(len(offsets) - 1)]
+        sets = [packed(marks.of(buf[offsets[i] : offsets[i + 1]])) for i in range(len(offsets) - 1)]
         yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("doc_id"), batch.column("good"), pa.array(sets, pa.binary())], names=["draw", "doc_id", "good", "features"])
 
 
@@ -186,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     if not taught.num_rows:
         model = Model(None, 0.0, 0.0, 0.0)
     else:
-        sets = [np.flatnonzero(np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=SIZE)).astype(np.uint32) for s in taught.column("features")]
+        sets = [unpacked(np.frombuffer(s.as_buffer(), np.uint8)) for s in taught.column("features")]
         model = fitted(np.array(taught.column("doc_id")), sets, np.array(taught.column("good")), seed)
     scored = rows.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "text")
     return scored.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), OUT)
