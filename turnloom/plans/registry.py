@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import captions, evaluation, intervals, live, matching, memory, retrieval, rows, sequence, vectors
+from turnloom.plans import captions, evaluation, intervals, live, matching, memory, retrieval, rows, sequence, ticks, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching]
+    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks]
 
 
 def queries() -> dict:
