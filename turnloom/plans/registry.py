@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import captions, evaluation, intervals, live, matching, memory, retrieval, reviews, rows, sequence, ticks, vectors
+from turnloom.plans import captions, evaluation, intervals, live, matching, memory, retrieval, reviews, rows, segments, sequence, ticks, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks, reviews]
+    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks, reviews, segments]
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.operators.segments import transcript_lines
+
 PAYLOAD = "speaker_id STRING, start DOUBLE, end DOUBLE, hold_seconds DOUBLE, reason STRING, replay_speed DOUBLE, text STRING, `index` LONG, pending BOOLEAN, revision LONG"
 TRACE = f"time DOUBLE, event STRING, payload STRUCT<{', '.join(f.strip().replace(' ', ': ', 1) for f in PAYLOAD.split(','))}>"
 
@@ -29,6 +31,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return s.select(F.coalesce("s.speaker", "s.speaker_id").alias("speaker"), F.coalesce("s.start", "s.start_sec").alias("start"), F.coalesce("s.end", "s.end_sec").alias("end"), F.col("s.text").alias("text"))
 
 
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of text transcripts, a file each (``path``), as ``transcript_lines`` gives them."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\\r?\\n")).alias("at", "line"))
+    return transcript_lines(files.withColumn("at", F.col("at") + 1), "path", "at")
+
+
 def write_trace(rows: DataFrame, path: str) -> None:
     """One JSON object a line."""
     rows.write.json(path)
