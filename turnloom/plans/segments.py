@@ -21,11 +21,11 @@ SELECT user_id % 7 AS session_id, event_id AS idx, CASE event_id % 37 WHEN 3 THE
 FROM events WHERE user_id % 7 <> 4
 UNION ALL SELECT 4 AS session_id, event_id AS idx, event_type AS text FROM events"""
 
-#: Sentences every 1.5 s, one voice after another, three unknown ones in each seven.
+#: Sentences every 1.5 s, three unknown ones in each seven; many repeat the vector of one or two before.
 UNKNOWN = """
 SELECT session_id, idx, CASE WHEN idx % 7 > 2 THEN speaker END AS speaker, 1500 * idx AS start_ms, 1500 * idx + duration_ms AS end_ms, embedding,
  CASE WHEN idx % 11 <> 4 THEN CAST((idx * 37 + session_id) % 70 AS DOUBLE) / CAST(100 AS DOUBLE) END AS top_similarity, CAST(idx % 5 AS DOUBLE) / CAST(20 AS DOUBLE) AS margin, CAST(idx % 9 AS DOUBLE) / CAST(20 AS DOUBLE) AS unknown_probability
-FROM (SELECT session_id, speaker, duration_ms, embedding, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY speaker, idx) AS BIGINT) AS idx FROM sentences) o"""
+FROM (SELECT session_id, idx, speaker, duration_ms, CASE idx % 7 WHEN 1 THEN COALESCE(LAG(embedding, 1) OVER (PARTITION BY session_id ORDER BY idx), embedding) WHEN 2 THEN COALESCE(LAG(embedding, 2) OVER (PARTITION BY session_id ORDER BY idx), embedding) ELSE embedding END AS embedding FROM sentences) o"""
 
 LINES = """
 SELECT session_id, idx + 1 AS line_no, CASE WHEN idx % 6 = 4 THEN text WHEN idx % 6 = 5 THEN '[1:02 - 1:03] Dr. Who:   ' ELSE
