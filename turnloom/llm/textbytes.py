@@ -79,6 +79,12 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def strings(parts: list[bytes]) -> pa.Array:
+    """A string column of UTF-8 byte strings."""
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(parts), pa.py_buffer(offsets), pa.py_buffer(b"".join(parts)))
+
+
 def pieces(buf: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole rows in runs of about ``limit`` bytes: (first row, end row, bytes, offsets)."""
     n, i = len(offsets) - 1, 0
