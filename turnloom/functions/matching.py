@@ -75,8 +75,3 @@ def lcs_alignment(left: Column, right: Column) -> Column:
 
 def evidence_matches(evidence: Column, transcript: Column) -> Column:
     return F.pandas_udf(lambda a, b: _each(near_verbatim, False, a, b), "boolean", F.PandasUDFType.SCALAR)(evidence, transcript)
-
-
-def sequence_ratio(left: Column, right: Column) -> Column:
-    """Share of matching blocks of two strings; 0 where one is null."""
-    return F.pandas_udf(lambda a, b: _each(lambda x, y: SequenceMatcher(None, x, y).ratio(), 0.0, a, b), "double", F.PandasUDFType.SCALAR)(left, right)

@@ -1,4 +1,4 @@
-"""Joins of rows by their texts: alignment of tokens, the best fuzzy match, votes of aligned words."""
+"""Joins of rows by their texts: near rows, votes of aligned words."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import matching as M
 from turnloom.functions import text as T
-from turnloom.functions.numbers import quantized
 
 
 def near_pairs(rows: DataFrame, others: DataFrame, key: str, place: str, reach: int) -> DataFrame:
@@ -17,16 +16,6 @@ def near_pairs(rows: DataFrame, others: DataFrame, key: str, place: str, reach:
     return a.join(b, (F.col(key) == F.col("_k")) & (F.col("_p") == F.col("other"))).drop("_k", "_p")
 
 
-def best_match(pairs: DataFrame, key: str) -> DataFrame:
-    """For each row the other row with most 0.65 sequence ratio + 0.35 token Jaccard, the earliest on ties."""
-    a, b = T.text_tokens(F.col("text")), T.text_tokens(F.col("other_text"))
-    told = pairs.withColumns({"_a": a, "_b": b}).filter("size(_a) > 0 AND size(_b) > 0")
-    ratio = M.sequence_ratio(F.array_join("_a", " "), F.array_join("_b", " "))
-    scored = told.withColumn("score", quantized(0.65 * ratio + 0.35 * T.token_jaccard(F.array_distinct("_a"), F.array_distinct("_b")), 9))
-    best = scored.filter("score > 0").groupBy(key, "place").agg(F.max(F.struct("score", (-F.col("other")).alias("_o"))).alias("b"))
-    return best.select(key, "place", (-F.col("b._o")).alias("other"), F.col("b.score").alias("score"))
-
-
 def speaker_votes(pairs: DataFrame, key: str, speaker: str) -> DataFrame:
     """For each row the speaker most of whose words align with it among the paired rows, with the share of its words."""
     a, b = T.text_tokens(F.col("text")), T.text_tokens(F.col("other_text"))

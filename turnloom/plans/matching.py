@@ -1,4 +1,4 @@
-"""Queries of the text joins. The sequence ratio and the alignment have no SQL form; tests compare them with brute force."""
+"""Queries of the text joins. The alignment has no SQL form here; tests compare it with brute force."""
 
 from __future__ import annotations
 
@@ -26,10 +26,6 @@ def lcs_alignments(spark, sf_dir):
     return p.select("session_id", F.col("place").alias("idx"), F.explode(M.lcs_alignment(T.text_tokens(F.col("text")), T.text_tokens(F.col("other_text")))).alias("p")).select("session_id", "idx", "p.left", "p.right")
 
 
-def fuzzy_matches(spark, sf_dir):
-    return J.best_match(_pairs(spark, sf_dir, 3), "session_id")
-
-
 def speaker_votes(spark, sf_dir):
     out = J.speaker_votes(_pairs(spark, sf_dir, 2), "session_id", "speaker")
     return out.withColumn("share", quantized(F.col("share")))
@@ -52,7 +48,7 @@ SELECT session_id, idx, other, CAST(coalesce(list_reduce(rows, lambda prev, hits
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (lcs_lengths, lcs_alignments, fuzzy_matches, speaker_votes, evidence_matches)}
+    return {q.__name__: q for q in (lcs_lengths, lcs_alignments, speaker_votes, evidence_matches)}
 
 
 def oracle_sql() -> dict[str, str]:
