@@ -181,9 +181,10 @@ def library():
 ALPHABET = ["a", "bc", "Z", " ", "\n", "é", "漢", "😀", "<", "1", "▁", "\x00", "the", "ing", "  ", "\t", "ß", "don't", "http://", "你好", "▁▁", "<0x0A>", "<s>", "<unk>", "ﬁ", "́", "ا", "한국", "\r\n", "0" * 9, "ab" * 20, " " * 17]
 
 
-@pytest.mark.parametrize("long", [1 << 10, 4])
-def test_same_ids_as_the_library(vocabulary, library, monkeypatch, long):
+@pytest.mark.parametrize(("long", "short"), [(1 << 10, 24), (4, 2), (1 << 10, 0)])
+def test_same_ids_as_the_library(vocabulary, library, monkeypatch, long, short):
     monkeypatch.setattr(pieces, "LONG", long)
+    monkeypatch.setattr(pieces, "SHORT", short)
     rng = random.Random(7)
     texts = ["", "a", " ", "▁", "x" * 3000, " " * 3000, "ab" * 2000, "你好世界" * 800, *("".join(rng.choices(ALPHABET, k=rng.randrange(1, 80))) for _ in range(1500)), *("".join(chr(rng.randrange(32, 0xD7FF)) for _ in range(50)) for _ in range(100))]
     expected = library.encode(texts)

@@ -13,7 +13,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from operator import add
 
 import numpy as np
@@ -26,9 +25,11 @@ from turnloom.llm import textbytes as B
 #: Fixed value: the character that stands for a blank in pieces.
 BLANK = "▁"
 #: Stretches whose ids a worker keeps, and their characters.
-MEMO, MEMO_CHARS = 1 << 19, 1 << 24
+MEMO, MEMO_CHARS = 3 << 18, 1 << 24
 #: Characters from which a stretch is cut between any two characters that no piece holds side by side.
 LONG = 1 << 10
+#: Symbols below which the agenda is a plain list instead of a heap.
+SHORT = 24
 
 OUT = "doc_id long, ids array<int>, decoded string, agrees boolean"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("agrees", pa.bool_())])
@@ -82,8 +83,8 @@ class Vocabulary:
     def merged(self, text: str) -> list[str]:
         """The symbols that are left when no two neighbours form a piece."""
         symbols, n, rank = list(text), len(text), self.rank.get
-        if n < 2:
-            return symbols
+        if n < SHORT:
+            return self._merged_short(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [r << 40 | i for i, r in enumerate(map(rank, map(add, text, text[1:]))) if r is not None]  # rank, then place
         heapq.heapify(agenda)
@@ -104,19 +105,31 @@ class Vocabulary:
                 heapq.heappush(agenda, r << 40 | h)
         return list(filter(None, symbols))
 
+    def _merged_short(self, symbols: list[str]) -> list[str]:
+        """The same for a few symbols, with the agenda as a plain list in the order of places."""
+        rank, none = self.rank.get, len(self.rank)
+        agenda = [rank(p, none) for p in map(add, symbols, symbols[1:])]
+        while agenda and (best := min(agenda)) != none:
+            i = agenda.index(best)
+            s = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(s + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + s, none)
+        return symbols
+
     def ids(self, stretch: str) -> bytes:
         """The ids of a stretch, 32 bits each."""
-        parts = [stretch]
-        if len(stretch) >= LONG:
+        if len(stretch) < LONG:
+            symbols = self.merged(stretch)
+        else:
             cuts = [0, *(i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in self.neighbours), len(stretch)]
-            parts = [stretch[a:b] for a, b in zip(cuts, cuts[1:])]
-        out = array("i")
-        for s in chain.from_iterable(map(self.merged, parts)):
-            if (i := self.id.get(s)) is not None:
-                out.append(i)
-            else:
-                out.extend(map(self.byte.__getitem__, s.encode("utf-8", "replace")))
-        return out.tobytes()
+            symbols = [s for a, b in zip(cuts, cuts[1:]) for s in self.merged(stretch[a:b])]
+        found = [*map(self.id.get, symbols)]
+        if None in found:
+            found = [i for s, own in zip(symbols, found) for i in ([own] if own is not None else map(self.byte.__getitem__, s.encode("utf-8", "replace")))]
+        return array("i", found).tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text of ids: the blank that starts the first piece goes; bytes that are no UTF-8 become U+FFFD."""
