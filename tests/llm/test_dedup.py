@@ -110,7 +110,7 @@ def test_lines(spark):
     for i, t in rows:
         for line in (t or "").split("\n"):
             held[key(line)].add(i)
-    out = {r.doc_id: r for r in lines.drop_frequent_lines(table(spark, rows).repartition(5), chunk_rows=8, fanout=2, batches=3).collect()}
+    out = {r.doc_id: r for r in lines.drop_frequent_lines(table(spark, rows).repartition(5), chunk_rows=8, fanout=2, batches=3, batch_chunks=1).collect()}
     assert len(out) == len(rows)
     for i, t in rows:
         split = (t or "").split("\n")
@@ -119,6 +119,22 @@ def test_lines(spark):
     assert lines.drop_frequent_lines(table(spark, []).limit(0)).count() == 0
 
 
+def test_keys_settle_while_a_corpus_is_counted(spark, monkeypatch):
+    """One file with one part: its chunks still come in six batches, and a key that ten documents have is counted no more."""
+    counted, count = [], lines.LineRuns.count
+    monkeypatch.setattr(lines.LineRuns, "count", lambda self, sent, batch: (counted.append(sent.count()), count(self, sent, batch)))
+    rows = [(k, f"everywhere\nin third {k % 3}\nown {k}\n{k // 9} in nine") for k in range(120)]
+    out, runs = lines._dropped(table(spark, rows).coalesce(1), 10, 1, 3, 6, 1, False, exchange.CHUNK_BYTES, 5, ())
+    assert [r.n_dropped for r in out.collect()] == [2] * 120
+    assert len(counted) == 6 and min(counted) >= 4
+    found = sorted(unpacked_runs(runs).values())
+    assert found[:-4] == [1] * 120 + [3] + [9] * 13 and all(10 <= n < 40 for n in found[-4:])  # of 40 and 120 documents
+    assert max(level for level, _ in runs.runs()) >= 1
+    counted.clear()
+    few, _ = lines._dropped(table(spark, rows).repartition(7), 10, 1, 3, 6, 32, False, exchange.CHUNK_BYTES, exchange.CHUNK_ROWS, ())
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, out.collect())) and len(counted) == 1
+
+
 def test_repeated_ids_count_as_documents(spark):
     out = lines.drop_frequent_lines(table(spark, [(1, "same")] * 6 + [(None, "same")] * 4)).collect()
     assert [r.n_dropped for r in out] == [1] * 10

@@ -44,29 +44,30 @@ def chunk_numbers(sizes: np.ndarray, state: list[int], limit: int, rows: int) ->
     return out
 
 
-def _deal(schema: pa.Schema, limit: int, rows: int, batches: int):
+def _deal(schema: pa.Schema, limit: int, rows: int, slots: int):
     def deal(stream):
         task, state = TaskContext.get().partitionId(), [0, 0, 0]
         for batch in stream:
             _, offsets = B.column_bytes(batch.column("text"))
-            numbers = chunk_numbers(np.diff(offsets), state, limit, rows) + (task << 40)
-            extra = [pa.array(np.full(len(numbers), task % batches, np.int32))] if batches else []
+            numbers = chunk_numbers(np.diff(offsets), state, limit, rows)
+            extra = [pa.array(((numbers + task) % slots).astype(np.int32))] if slots else []
+            numbers += task << 40
             yield pa.RecordBatch.from_arrays([*(c.cast(t) for c, t in zip(batch.columns, schema.types)), pa.array(numbers), *extra], schema=schema)
 
     return deal
 
 
-def dealt(docs: DataFrame, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS, carry: tuple[str, ...] = (), batches: int = 0) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS, carry: tuple[str, ...] = (), slots: int = 0) -> tuple[DataFrame, int]:
     """(doc_id, text, carried columns as _name, chunk) as a written table, and the number of hash buckets for it.
 
     The chunk is written with the row, so equal rows, and rows without an id, spread over chunks, and a step that is
-    run again after a lost executor sees the same chunks. With ``batches`` whole tasks are dealt into as many batches
-    and the table is laid out by the last column, ``batch``.
+    run again after a lost executor sees the same chunks. With ``slots`` the chunks are dealt in turn into as many slots
+    and the table is laid out by the last column, ``slot``.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
     named_out = named.withColumn("chunk", F.lit(0).cast("long"))
-    out = (named_out.withColumn("batch", F.lit(0)) if batches else named_out).schema
-    table = written(named.mapInArrow(_deal(to_arrow_schema(out), limit, rows, batches), out), "chunks", ("batch",) if batches else ())
+    out = (named_out.withColumn("slot", F.lit(0)) if slots else named_out).schema
+    table = written(named.mapInArrow(_deal(to_arrow_schema(out), limit, rows, slots), out), "chunks", ("slot",) if slots else ())
     chunks = table.select("chunk").distinct().count()
     return table, max(1, -(-chunks // 2))
 

@@ -26,8 +26,8 @@ from turnloom.llm import exchange as X
 from turnloom.llm import textbytes as B
 from turnloom.llm.storage import discard, folder, scratch
 
-#: Runs of a level that are compacted into one; batches that a whole corpus is cut into.
-FANOUT, BATCHES = 3, 6
+#: Runs of a level that are compacted into one; batches that a whole corpus is cut into at most, and chunks in a batch at least.
+FANOUT, BATCHES, BATCH_CHUNKS = 3, 6, 32
 KEY = 12
 RUN = "bucket long, keys binary, counts binary"
 _RUN_ARROW = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -257,14 +257,22 @@ class LineRuns:
         self._compact(level + 1)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = FANOUT, batches: int = BATCHES, keep_text: bool = True, chunk_bytes: int = X.CHUNK_BYTES, chunk_rows: int = X.CHUNK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, fanout: int = FANOUT, batches: int = BATCHES, batch_chunks: int = BATCH_CHUNKS, keep_text: bool = True, chunk_bytes: int = X.CHUNK_BYTES, chunk_rows: int = X.CHUNK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key has at least ``min_chars`` code points and occurs in at least ``min_docs`` rows.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, n_lines, n_dropped, kept_sha256 and
     kept_text (null unless keep_text), one row for each input row. A null or empty text is one empty line and
     stays the empty text; a text that loses all lines becomes empty. Rows that repeat a doc_id, or have none,
     count as documents of their own. An empty table gives an empty result. Columns named in ``carry`` come along.
+
+    The corpus is cut into one batch for each ``batch_chunks`` chunks, at most ``batches``, whatever files it is read
+    from. With one batch there is no earlier run to join with; the result does not depend on their number.
     """
+    return _dropped(docs, min_docs, min_chars, fanout, batches, batch_chunks, keep_text, chunk_bytes, chunk_rows, carry)[0]
+
+
+def _dropped(docs: DataFrame, min_docs: int, min_chars: int, fanout: int, batches: int, batch_chunks: int, keep_text: bool, chunk_bytes: int, chunk_rows: int, carry: tuple[str, ...]) -> tuple[DataFrame, LineRuns]:
+    """``drop_frequent_lines`` and its runs."""
     spark = docs.sparkSession
     table, buckets = X.dealt(docs, chunk_bytes, chunk_rows, carry, batches)
     runs = LineRuns(spark, scratch(spark, "line-runs"), buckets, fanout, min_docs)
@@ -272,9 +280,12 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     def sent(rows: DataFrame) -> DataFrame:
         return rows.groupBy("chunk").applyInArrow(_send(buckets, min_chars), X.SENT)
 
-    for batch in range(batches):
-        runs.count(sent(table.filter(F.col("batch") == batch)), str(batch))
+    n = min(batches, max(1, 2 * buckets // batch_chunks))
+    filled = {slot % n for (slot,) in table.select("slot").distinct().collect()}  # at most ``batches`` numbers
+    for batch in sorted(filled):
+        runs.count(sent(table.filter(F.col("slot") % n == batch)), str(batch))
     extra = docs.select(*carry).schema
-    groups = table.drop("batch").groupBy("chunk")
-    answers = sent(table.drop("batch")).groupBy("bucket").cogroup(runs.table().groupBy("bucket")).applyInArrow(_frequent(min_docs), X.ANSWER)
-    return groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(buckets, min_chars, keep_text, to_arrow_schema(extra)), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
+    groups = table.drop("slot").groupBy("chunk")
+    answers = sent(table.drop("slot")).groupBy("bucket").cogroup(runs.table().groupBy("bucket")).applyInArrow(_frequent(min_docs), X.ANSWER)
+    out = groups.cogroup(answers.groupBy("chunk")).applyInArrow(_rewrite(buckets, min_chars, keep_text, to_arrow_schema(extra)), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)]))
+    return out, runs
