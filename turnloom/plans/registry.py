@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import alignment, captions, evaluation, intervals, live, matching, memory, retrieval, reviews, rows, segments, sentences, sequence, ticks, tracklets, vectors
+from turnloom.plans import alignment, bayes, captions, evaluation, intervals, live, matching, memory, retrieval, reviews, rows, segments, sentences, sequence, ticks, tracklets, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks, reviews, segments, alignment, sentences, tracklets]
+    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks, reviews, segments, alignment, sentences, tracklets, bayes]
 
 
 def queries() -> dict:
