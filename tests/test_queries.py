@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.functions import speech
 from turnloom.functions import text as T
-from turnloom.operators import reports, retrieval
+from turnloom.operators import reports, retrieval, sequence
 from turnloom.plans import registry
 from turnloom.plans.views import TABLES
 
@@ -69,6 +70,30 @@ def test_text_expressions(spark):
 
 
 def test_cues(spark):
-    rows = [(1, 0, "We decided. I will follow up, ok?"), (1, 1, "First 20% always"), (1, 2, None), (2, 0, "nothing here"), (2, 1, "A blocker")]
+    rows = [(1, 0, "We decided. I will follow up, ok?"), (1, 1, "There are 20% of them"), (1, 2, None), (2, 0, "nothing here, undecided"), (2, 1, "A blocker"), (3, 0, "Das ist offen, BITTE"), (3, 1, "final 7 were")]
     out = reports.cue_objects(spark.createDataFrame(rows, "session_id long, idx long, text string"), "session_id").collect()
-    assert {(r.session_id, r.idx, r.type) for r in out} == {(1, 0, "decision"), (1, 0, "action_item"), (1, 0, "open_question"), (1, 1, "claim"), (2, 1, "risk")}
+    assert {(r.session_id, r.idx, r.type) for r in out} == {(1, 0, "decision"), (1, 0, "action_item"), (1, 0, "open_question"), (1, 1, "claim"), (2, 1, "risk"), (3, 0, "open_question"), (3, 0, "action_item"), (3, 1, "decision")}
+    many = spark.createDataFrame([(None, k, "a risk") for k in range(20)], "session_id long, idx long, text string")
+    assert sorted(r.number for r in reports.cue_objects(many, "session_id").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_promotional_outro(spark):
+    schema = "session_id long, idx long, speaker string, text string, duration_ms long, outro string"
+    ad, talk = "please subscribe", "hello"
+
+    def fixed(*rows, **options):
+        df = spark.createDataFrame([(1, k, speaker, text, ms, "x") for k, (speaker, text, ms) in enumerate(rows)], schema)
+        out = sequence.promotional_outro(df.drop("outro"), "session_id", speech.promotional(F.col("text")), **options).orderBy("idx").collect()
+        return [r.fixed for r in out]
+
+    assert fixed(("A", talk, 5000), ("B", talk, 1), ("C", ad, 12_000)) == ["A", "B", "A"]
+    assert fixed((None, talk, 9000), ("A", talk, 5000), ("C", ad, None)) == [None, "A", "A"]  # the first row with a label counts
+    assert fixed(("A", talk, 4999), ("C", ad, 1)) == ["A", "C"]  # said too little
+    assert fixed(("A", talk, 9000), ("C", ad, 12_001)) == ["A", "C"]  # lasts too long
+    assert fixed(("A", talk, 9000), ("C", ad, 1), ("C", talk, 1)) == ["A", "C", "C"]  # heard elsewhere
+    assert fixed(("A", talk, 9000), ("C", ad, 1), ("B", talk, 1), ("B", talk, 1)) == ["A", "C", "B", "B"]  # not at the end
+    assert fixed(("A", talk, 9000), ("C", ad, 1), ("D", ad, 1)) == ["A", "A", "A"]
+    assert fixed(("A", ad, 9000)) == ["A"] and fixed(("A", talk, 9000), (None, ad, 1)) == ["A", None]
+    nulls = spark.createDataFrame([(None, 0, "A", talk, 6000, "x"), (None, 1, "B", ad, 5, "x"), (2, 0, "B", ad, 5, "x")], schema).drop("outro")
+    assert [tuple(r)[-2:] for r in sequence.promotional_outro(nulls, "session_id", speech.promotional(F.col("text"))).orderBy("session_id", "idx").collect()] == [(False, "A"), (True, "A"), (False, "B")]
+    assert sequence.promotional_outro(nulls.limit(0), "session_id", speech.promotional(F.col("text"))).count() == 0

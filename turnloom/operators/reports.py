@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 #: Cue patterns by object type, with how many of a type a session may have: fixed values.
 CUES = {
-    "decision": (r"(?i)\b(decided|decision|agreed|approved|we will)\b", 8),
-    "action_item": (r"(?i)\b(i will|i'll|todo|action item|follow up|needs to)\b", 8),
-    "open_question": (r"(?i)\?|\b(not sure|unclear|open question)\b", 6),
-    "risk": (r"(?i)\b(risk|blocker|blocked|concern|problem)\b", 6),
-    "claim": (r"(?i)\b[0-9]+([.,][0-9]+)?\s?(%|percent|million|billion)|\b(always|never|first|largest)\b", 4),
+    "decision": (r"(?i)\b(decided|decision|agreed|agreement|final|beschlossen|beschluss|entschieden|entscheidung|machen wir so)\b", 8),
+    "action_item": (r"(?i)\b(action|todo|follow up|i will|i'll|we need to|can you|please|owner|deadline|task|aufgabe|bitte|ich mache|ich uebernehme|wir muessen|frist|bis)\b", 8),
+    "open_question": (r"(?i)\?|\b(open question|unclear|clarify|who will|what is|what are|how do|offen|unklar|klaeren|frage)\b", 6),
+    "risk": (r"(?i)\b(risk|blocker|blocked|blocking|problem|issue|concern|warning|delay|risiko|blocker|blockiert|problem|kritisch|verzoegerung)\b", 6),
+    "claim": (r"(?i)\b(is|are|has|have|was|were|ist|sind|hat|haben|war|waren)\b.*\b(\d+|percent|prozent|million|millionen|eur|usd)\b", 4),
 }
 
 

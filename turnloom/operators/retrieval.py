@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as T
 
 DIMENSIONS = 64
-#: Words that don't count as query terms.
-STOP_WORDS = ("about", "also", "been", "could", "does", "from", "have", "into", "that", "their", "them", "then", "there", "these", "they", "this", "were", "what", "when", "where", "which", "with", "would", "your")
+#: Words that don't count as query terms: fixed values.
+STOP_WORDS = (
+    "about", "after", "also", "been", "being", "could", "does", "from", "have", "meeting", "said", "says", "that", "their", "there", "these", "they", "this", "transcript", "what", "when", "where", "which", "with", "would",
+    "aber", "auch", "dann", "dass", "dies", "diesem", "dieser", "gesagt", "hatte", "hier", "meeting", "sagte", "sind", "über", "wurde", "werden", "wird",
+)
 
 
 def hashed_vectors(rows: DataFrame, key: str, tokens: str) -> DataFrame:

@@ -143,3 +143,20 @@ def zero_crossing(points: DataFrame, keys: list[str], at: str, margin: str) -> D
     flat = hit.groupBy(*(cross[k] for k in keys), at, "_t", margin, "_m").agg(((F.min("_z") + F.max("_z")) / 2).alias("_middle"))
     point = F.coalesce("_middle", F.col("_t") + (F.col(at) - F.col("_t")) * (-F.col("_m")) / (F.col(margin) - F.col("_m")))
     return flat.withColumn("_p", point).groupBy(*keys).agg(F.min(F.struct(F.col(at).alias("a"), F.col("_p").alias("p"))).alias("b")).select(*keys, F.col("b.p").alias("crossing"))
+
+
+def promotional_outro(rows: DataFrame, key: str, promotional: Column, last_rows: int = 2, most_ms: int = 12_000, least_ms: int = 5000, label: str = "speaker", duration: str = "duration_ms") -> DataFrame:
+    """Promotional rows at the end of a session go to the session's first speaker (``fixed``, ``outro``).
+
+    Such a row is among the last ``last_rows``, has a label of its own that no other row of the session has, and lasts at
+    most ``most_ms``; the first speaker, that of the first row with a label, has ``least_ms`` or more in all. A session of
+    one row stays as it is; rows of a null session are one session; a null duration counts 0.
+    """
+    ms = F.greatest(F.coalesce(F.col(duration), F.lit(0)), F.lit(0))
+    totals = rows.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(label).alias("_l")).agg(F.sum(ms).alias("_ms"), F.count(F.lit(1)).alias("_n"), F.min("idx").alias("_first"))
+    first = totals.groupBy("_k").agg(F.min_by(F.struct(F.col("_l").alias("label"), F.col("_ms").alias("ms")), "_first").alias("_host"))
+    own = totals.filter("_n = 1 AND _ms <= " + str(int(most_ms))).join(first.filter(F.col("_host.ms") >= least_ms).withColumnRenamed("_k", "_k2"), F.expr("_k <=> _k2 AND _l <> _host.label"))
+    late = rows.select(key, "idx", label, promotional.alias("_p"), F.row_number().over(W.partitionBy(key).orderBy(F.desc("idx"))).alias("_late")).filter(F.col("_late") <= last_rows)
+    moved = late.filter("_p").join(own, F.col(key).eqNullSafe(F.col("_k")) & (F.col(label) == F.col("_l"))).select(F.col(key).alias("_key"), F.col("idx").alias("_idx"), F.col("_host.label").alias("_to"))
+    out = rows.join(moved, F.col(key).eqNullSafe(F.col("_key")) & (F.col("idx") == F.col("_idx")), "left")
+    return out.select(*(rows[c] for c in rows.columns), F.col("_to").isNotNull().alias("outro"), F.coalesce("_to", label).alias("fixed"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from turnloom.functions import speech as S
 from turnloom.functions import text as T
 from turnloom.functions.numbers import quantized, seconds_to_samples, sigmoid
-from turnloom.plans.views import frame, with_views
+from turnloom.operators import sequence as Q
+from turnloom.plans.views import frame, run_sql, with_views
 
 AT = ("session_id", "idx")
 
@@ -57,14 +58,15 @@ def sentence_spans(spark, sf_dir):
     return c.select(*AT, "text", second.alias("second"), F.length(F.get(parts, F.lit(0))).alias("first_end")).filter("second <> ''").select(*AT, (at - 1).alias("start"), (at - 1 + F.length("second")).alias("end"))
 
 
+#: Captions whose last rows often thank for watching, some by a guest who says nothing else.
+_CREDITS = """SELECT session_id, idx, end_ms - start_ms AS duration_ms, CASE WHEN (session_id + idx) % 4 < 2 AND idx >= 2 THEN CONCAT('G', CAST(idx % 3 AS VARCHAR(20))) WHEN session_id % 7 = 1 AND idx = 0 THEN NULL ELSE speaker END AS speaker,
+ CASE WHEN (session_id + idx) % 3 <> 1 AND idx >= 2 THEN 'So, Like and SUBSCRIBE.' ELSE text END AS text FROM captions"""
+
+
 def promo_outro(spark, sf_dir):
-    """The run of promotional rows that ends each session, if any, given to the speaker before it."""
-    c = _captions(spark, sf_dir).withColumn("promo", S.promotional(F.col("text")))
-    back = W.partitionBy("session_id").orderBy(F.desc("idx"))
-    tail = c.withColumn("others", F.sum((~F.col("promo")).cast("int")).over(back))
-    before = W.partitionBy("session_id").orderBy("idx")
-    marked = tail.withColumn("outro", F.col("others") == 0).withColumn("host", F.last(F.when(~F.col("outro"), F.col("speaker")), True).over(before))
-    return marked.select(*AT, "promo", "outro", F.when(F.col("outro"), F.coalesce("host", "speaker")).otherwise(F.col("speaker")).alias("fixed"))
+    """Promotional rows at the end of a session, by someone heard nowhere else, given to the first speaker."""
+    out = Q.promotional_outro(run_sql(spark, sf_dir, _CREDITS), "session_id", S.promotional(F.col("text")))
+    return out.select(*AT, S.promotional(F.col("text")).alias("promo"), "outro", "fixed")
 
 
 def stock_phrases(spark, sf_dir):
@@ -131,7 +133,7 @@ _N = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+(?:[''’]\p{L}+)*')"
 _CONTENT = f"list_filter({_WORDS}, lambda w: w NOT IN ({_list(S.VOCABLES)}))"
 _SPLIT = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
-_PROMO = "(SELECT *, coalesce(list_contains(w, 'subscribe') OR (list_contains(w, 'youtube') AND list_has_any(w, ['like', 'watch', 'catch', 'channel'])) OR (list_contains(w, 'notification') AND list_contains(w, 'bell')), false) AS promo FROM (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM captions))"
+_PROMO = "(SELECT *, coalesce(list_contains(w, 'subscribe') OR (list_contains(w, 'youtube') AND list_has_any(w, ['like', 'watch', 'catch', 'channel'])) OR (list_contains(w, 'notification') AND list_contains(w, 'bell')), false) AS promo FROM (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM ({})))"
 
 SQL = {
     "evidence_texts": rf"SELECT session_id, idx, array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+'), ' ') AS evidence, {_N} AS normalized FROM captions",
@@ -141,7 +143,11 @@ SQL = {
     "sentence_case": r"""SELECT session_id, idx, CASE WHEN a <= length(text) AND text[a] <> upper(text[a]) AND NOT (text[a + 1] <> lower(text[a + 1]) AND regexp_matches(text[a + 1], '\p{L}')) THEN concat(text[1 : a - 1], upper(text[a]), text[a + 1 :]) ELSE text END AS cased, regexp_matches(regexp_replace(trim(text), '["''”’)\]]+$', ''), '[.?!…]$') AS ends FROM (SELECT *, length(regexp_extract(text, '^[^\p{L}]*')) + 1 AS a FROM captions)""",
     "joined_words": rf"WITH s AS (SELECT session_id, idx, {_SPLIT} AS ws FROM captions WHERE text IS NOT NULL), e AS (SELECT session_id, idx, regexp_replace(array_to_string(ws, ' '), '\s+([,.;:!?])', '\1', 'g') AS joined, CAST(k.k - 1 AS INT) AS place, ws[k.k] AS word FROM s, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS k) k), l AS (SELECT *, length(word) + CASE WHEN place = 0 OR contains('.,?!;:%)]}}…', word[1]) THEN 0 ELSE 1 END AS step FROM e), t AS (SELECT *, CAST(sum(step) OVER (PARTITION BY session_id, idx ORDER BY place) AS INT) AS last FROM l) SELECT session_id, idx, joined, place, word, CAST(last - length(word) AS INT) AS start, last AS end FROM t",
     "sentence_spans": r"WITH p AS (SELECT session_id, idx, text, regexp_extract_all(text, '[^.!?]+[.!?]*') AS ps FROM captions WHERE text IS NOT NULL), q AS (SELECT *, trim(ps[2]) AS second, length(ps[1]) AS n FROM p), f AS (SELECT *, CAST(instr(text[n + 1 :], second) AS INT) AS k FROM q WHERE second <> '') SELECT session_id, idx, CAST(CASE WHEN k > 0 THEN n + k - 1 ELSE -1 END AS INT) AS start, CAST(CASE WHEN k > 0 THEN n + k - 1 ELSE -1 END + length(second) AS INT) AS end FROM f",
-    "promo_outro": f"WITH p AS (SELECT *, sum(CASE WHEN promo THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY idx DESC) = 0 AS outro FROM {_PROMO}), h AS (SELECT *, last_value(CASE WHEN NOT outro THEN speaker END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx) AS host FROM p) SELECT session_id, idx, promo, outro, CASE WHEN outro THEN coalesce(host, speaker) ELSE speaker END AS fixed FROM h",
+    "promo_outro": f"""WITH p AS {_PROMO.format(_CREDITS)}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx DESC) AS late, count(*) OVER (PARTITION BY session_id, speaker) AS n,
+ first_value(speaker IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS host FROM p),
+ t AS (SELECT session_id, speaker AS host, sum(duration_ms) AS ms FROM p GROUP BY ALL),
+ m AS (SELECT o.*, coalesce(promo AND late <= 2 AND n = 1 AND speaker <> o.host AND duration_ms <= 12000 AND ms >= 5000, false) AS outro FROM o LEFT JOIN t ON t.session_id = o.session_id AND t.host = o.host)
+SELECT session_id, idx, promo, outro, CASE WHEN outro THEN host ELSE speaker END AS fixed FROM m""",
     "stock_phrases": f"""WITH t AS (SELECT *, {_N} AS n, start_ms / 1000.0::DOUBLE AS s, max(end_ms) OVER (PARTITION BY session_id) / 1000.0::DOUBLE AS media FROM captions), c(text_, rule_) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in S.CREDITS.items())}),
 r AS (SELECT t.*, CASE WHEN c.rule_ IS NOT NULL THEN c.rule_ WHEN contains(' ' || n || ' ', ' amara ') AND contains(' ' || n || ' ', ' org ') THEN 'amara_org' WHEN n IN ('thanks for watching', 'thank you for watching') THEN 'thanks_for_watching' WHEN contains(' ' || n || ' ', ' thanks for watching ') OR contains(' ' || n || ' ', ' thank you for watching ') THEN 'thanks_for_watching_in_context' WHEN contains(' ' || n || ' ', ' amara ') THEN 'amara_name' END AS rule FROM t LEFT JOIN c ON t.n = c.text_)
 SELECT session_id, idx, rule, CAST(CASE WHEN rule LIKE 'credit%' THEN 100 WHEN rule = 'thanks_for_watching' THEN 85 WHEN rule = 'amara_name' THEN 30 ELSE 60 END AS INT) AS risk,

@@ -9,7 +9,7 @@ from turnloom.functions.numbers import clock, quantized, timecode_seconds
 from turnloom.operators import reports as P
 from turnloom.operators import retrieval as R
 from turnloom.operators import vectors as V
-from turnloom.plans.views import frame, with_views
+from turnloom.plans.views import frame, run_sql, with_views
 
 
 def _docs(spark, sf_dir):
@@ -78,12 +78,18 @@ def exact_term_rows(spark, sf_dir):
     return R.exact_rows(t, T.unicode_tokens(F.col("text")), R.query_terms(terms), ["start_ms", "session_id", "idx"]).select("session_id", "idx", "matched")
 
 
+#: Turns of which two thirds are lines with cues, in both languages, with marks and letters around them.
+_SPOKEN = """SELECT session_id, idx, CASE (session_id * 7 + idx) % 21 WHEN 0 THEN 'We AGREED on the final plan' WHEN 1 THEN 'Das ist beschlossen, machen wir so.' WHEN 2 THEN 'Undecided, finally' WHEN 3 THEN 'I''ll follow up' WHEN 4 THEN 'Ich mache das bis Freitag'
+ WHEN 5 THEN 'Pleased to see the tasks' WHEN 6 THEN 'Really?' WHEN 7 THEN 'That is an open question; who will clarify it' WHEN 8 THEN 'Das ist noch offen und unklar' WHEN 9 THEN 'A blocker, and a RISK' WHEN 10 THEN 'Kritisch: ein Problem' WHEN 11 THEN 'No problems, no issues'
+ WHEN 12 THEN 'Revenue was 12 million' WHEN 13 THEN 'Es sind neun Prozent, sagt er' WHEN 14 THEN 'Ten percent it will be' WHEN 15 THEN 'Can you decide what is 4?' ELSE text END AS text FROM turns"""
+
+
 def cue_extraction(spark, sf_dir):
-    return P.cue_objects(_turns(spark, sf_dir), "session_id").select("session_id", "idx", "type", "number")
+    return P.cue_objects(run_sql(spark, sf_dir, _SPOKEN), "session_id").select("session_id", "idx", "type", "number")
 
 
 def cue_status(spark, sf_dir):
-    return P.cue_objects(_turns(spark, sf_dir), "session_id").groupBy("session_id").pivot("type", list(P.CUES)).agg(F.count(F.lit(1))).na.fill(0)
+    return P.cue_objects(run_sql(spark, sf_dir, _SPOKEN), "session_id").groupBy("session_id").pivot("type", list(P.CUES)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def due_hints(spark, sf_dir):
@@ -195,8 +201,8 @@ def _hashed(source: str, key: str) -> str:
     return f"(SELECT {key}, list(x ORDER BY slot) AS e FROM (SELECT k.{key}, s.slot, coalesce(sum(CASE WHEN CAST('0x' || substr(sha256(t), 5, 2) AS INT) % 2 = 1 THEN -1.0::DOUBLE ELSE 1 END) FILTER (WHERE CAST('0x' || substr(sha256(t), 1, 2) AS INT) % 64 = s.slot), 0) AS x FROM (SELECT {key}, unnest(w) AS t FROM {source}) k, (SELECT unnest(range(64)) AS slot) s GROUP BY ALL) GROUP BY {key})"
 
 
-_CUE = " UNION ALL ".join("SELECT session_id, idx, '{}' AS type, {} AS cap FROM turns WHERE regexp_matches(text, '{}')".format(k, n, p.replace("'", "''")) for k, (p, n) in P.CUES.items())
-_CUES = f"c AS ({_CUE}), cues AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, type ORDER BY idx) AS INT) AS number FROM c) WHERE number <= cap)"
+_CUE = " UNION ALL ".join("SELECT session_id, idx, '{}' AS type, {} AS cap FROM spoken WHERE regexp_matches(text, '{}')".format(k, n, p.replace("'", "''")) for k, (p, n) in P.CUES.items())
+_CUES = f"spoken AS ({_SPOKEN}), c AS ({_CUE}), cues AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, type ORDER BY idx) AS INT) AS number FROM c) WHERE number <= cap)"
 
 
 def _clock(x: str) -> str:
