@@ -91,6 +91,9 @@ _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _KEY = re.compile(r"[A-Za-z0-9_+/=-]+\Z")
 _TRIM = "\"'`.,;:!?()[]{}<>=#$%&*|"
 _CUES = {"token": "secret", "key": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "apikey": "secret", "api_key": "secret", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "mail": "email", "email": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "iban": "iban", "account": "iban", "ssn": "ssn", "social": "ssn", "security": "ssn"}
+#: Cues of passwords, which may be short, and of sums and names that look like keys and are public.
+_CUES |= dict.fromkeys(("password", "passwd", "pwd", "passphrase"), "password")
+_CUES |= dict.fromkeys(("commit", "sha1", "sha256", "sha512", "sha", "md5", "sum", "checksum", "digest", "hash", "uuid", "guid", "etag", "revision", "blob", "tree", "fingerprint", "build", "trace", "request"), "sum")
 
 
 def iban_holds(span: str) -> bool:
@@ -108,58 +111,91 @@ def core(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def features(text: str, words: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
-    """Features of the segment of words i to j (exclusive), or None if it can't be an entity."""
-    start, end = core(text, words[i][0], words[j - 1][1])
-    span = text[start:end]
-    first, last = span.split(None, 1)[:1], span.rsplit(None, 1)[-1:]
-    if not span or not all(_MARKED.search(w) for w in (first[0], last[0])):
-        return None
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_PHONE_SHAPE = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}\Z")
+_FOURS = re.compile(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\Z")
+_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*\Z")
+
+
+def _size(n: int) -> str:
+    """Class of a count of digits."""
+    return "0" if not n else "1-6" if n < 7 else "7-9" if n < 10 else "10-12" if n < 13 else "13-15" if n < 16 else "16-19" if n < 20 else "20+"
+
+
+def span_features(span: str, k: int) -> tuple[list[str], list[tuple[list[str], list[str], bool]]]:
+    """Features of a span of k words: those that its shape alone decides, and (features if so, else, is it so) for each question
+    that the digits and letters themselves decide."""
     digits = _DIGITS.sub("", span)
     letters = sum(c.isalpha() for c in span)
-    out = ["any", f"words={j - i}"]
     n = len(digits)
-    size = "0" if not n else "1-6" if n < 7 else "7-9" if n < 10 else "10-12" if n < 13 else "13-15" if n < 16 else "16-19" if n < 20 else "20+"
-    out.append(f"digits={size}")
+    size = _size(n)
+    out, asked = ["any", f"words={k}", f"digits={size}"], []
     if not letters:
-        out.append("no letters")
-        out.append(f"no letters,digits={size}")
-        if 13 <= n <= 19 and re.fullmatch(r"[0-9]+(?:[ -][0-9]+)*", span):
-            out.append("check sum holds" if luhn(digits) else "check sum fails")
-    if span.startswith("+") and not letters:
-        out.append("plus")
-        out.append(f"plus,digits={size}")
-    if not letters and re.fullmatch(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}", span):
-        out.append("phone shape")
-    if not letters and re.fullmatch(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", span):
-        out.append("groups of four")
+        out += ["no letters", f"no letters,digits={size}"]
+        if 13 <= n <= 19 and _GROUPS.match(span):
+            asked.append((["check sum holds"], ["check sum fails"], luhn(digits)))
+        if span.startswith("+"):
+            out += ["plus", f"plus,digits={size}"]
+        if _PHONE_SHAPE.match(span):
+            out.append("phone shape")
+        if _FOURS.match(span):
+            out.append("groups of four")
     if _SSN.match(span):
         out.append("ssn shape")
     if _IBAN.match(span):
-        out.append("iban holds" if iban_holds(span) else "iban fails")
+        asked.append((["iban holds"], ["iban fails"], iban_holds(span)))
     parts = span.split(".")
     if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
-        out.append("dotted quad" if all(len(p) < 4 and int(p) < 256 for p in parts) else "large quad")
+        asked.append((["dotted quad"], ["large quad"], all(len(p) < 4 and int(p) < 256 for p in parts)))
     if "@" in span:
         left, _, right = span.partition("@")
         out.append("at")
         if left and "." in right.strip(".") and "@" not in right and not any(c.isspace() for c in span):
             out.append("address shape")
-    if j - i == 1 and letters and "@" not in span:
+    if k == 1 and letters and "@" not in span:
+        if "://" in span or span.count("/") > 1 and "=" not in span or span.startswith("www."):
+            out.append("path")
         body = span.rsplit("=", 1)[-1].strip("\"'")
+        if re.fullmatch(r"[0-9a-zA-Z]{8}(?:-[0-9a-zA-Z]{4}){3}-[0-9a-zA-Z]{12}", body):
+            asked.append((["uuid shape"], [], bool(_UUID.match(body))))
         if _KEY.match(body):
-            kind = "hex" if _HEX.match(body) else "key"
             length = "long" if len(body) >= 32 else "medium" if len(body) >= 20 else "short"
-            out.append(f"{kind},{length}")
+            key, hexed = [f"key,{length}"], [f"hex,{length}"]
             if not n:
                 out.append(f"no digits,mixed={sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:])) >= 8},{length}")
-            elif kind == "key" and length != "short":
-                out.append(f"mixed={sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:])) >= 6}")
-    for k in range(max(0, i - 3), i):
-        cue = _CUES.get(text[words[k][0] : words[k][1]].strip(_TRIM).lower())
-        if cue:
-            out.append(f"after {cue}")
-    return out
+            elif length != "short":
+                key.append(f"mixed={sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:])) >= 6}")
+                if body.isupper() and body.isalnum():
+                    key.append(f"upper,{length}")
+            asked.append((hexed, key, bool(_HEX.match(body))))
+    return out, asked
+
+
+def cues(text: str, words: list[tuple[int, int]], i: int) -> list[str]:
+    """Features of the three words before a segment; a cue may also be joined to what it announces by = or :."""
+    found = (_CUES.get(text[s:e].strip(_TRIM).lower()) for s, e in words[max(0, i - 3) : i])
+    return [f"after {cue}" for cue in found if cue]
+
+
+def features(text: str, words: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
+    """Features of the segment of words i to j (exclusive), or None if it can't be an entity."""
+    start, end = core(text, words[i][0], words[j - 1][1])
+    span = text[start:end]
+    ends = span.split()
+    if not ends or not (_MARKED.search(ends[0]) and _MARKED.search(ends[-1])):
+        return None
+    out, asked = span_features(span, j - i)
+    if any(text[s:e].rstrip(",;").isdecimal() for s, e in (*words[max(0, i - 1) : i], *words[j : j + 1])):
+        out.append(ROW)
+    return [*out, *(x for yes, no, holds in asked for x in (yes if holds else no)), *cues(text, words, i)]
+
+
+#: Feature of a segment next to a plain number.
+ROW = "in a row"
+#: Letters and digits by kind: spans of one shape differ only in what ``span_features`` asks.
+_SHAPE = {c: "a" if chr(c).islower() else "A" if chr(c).isupper() else "9" for c in range(128) if chr(c).isalnum()}
+#: Shapes whose bounds a worker keeps.
+SHAPES = 1 << 16
 
 
 class Field:
@@ -167,6 +203,8 @@ class Field:
 
     def __init__(self):
         self.weights: dict[tuple[str, str], float] = {}
+        self.shapes: dict[tuple[bool, str, int], float] = {}  # bounds by shape and words, and by plain counts
+        self.plain: dict[tuple[bool, int, str, bool, bool], float] = {}
 
     def candidates(self, text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
         """For each end, the possible (start, features)."""
@@ -182,9 +220,64 @@ class Field:
         w = self.weights
         return sum(w.get((kind, x), 0.0) for x in f)
 
-    def decode(self, text: str, words: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    def bound(self, out: list[str], asked: list) -> float:
+        """The best score of any kind that a segment can have with these features, without cues, whatever the answers are."""
+        return max(self.score(kind, out) + sum(max(self.score(kind, yes), self.score(kind, no)) for yes, no, _ in asked) for kind in KINDS)
+
+    def _plain_bound(self, row: bool, k: int, size: str, letters: bool, plus: bool) -> float:
+        """``bound`` for several words without a shape of their own: beyond four words no pattern but the check sum's fits."""
+        out = ["any", f"words={k}", f"digits={size}"] + [ROW] * row + ([] if letters else ["no letters", f"no letters,digits={size}"]) + (["plus", f"plus,digits={size}"] if plus and not letters else [])
+        return self.bound(out, [(["check sum holds"], ["check sum fails"], True), ([], [], True)] if not letters and size in ("13-15", "16-19") else [])
+
+    def plausible(self, text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
+        """``candidates`` that may score above 0 in some kind; the others never improve a segmentation, since leaving their
+        words outside entities costs nothing. Most fall by their shape alone, whose bound is kept."""
+        shape = text.translate(_SHAPE)
+        out: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(words) + 1)]
+        cores = [core(text, s, e) for s, e in words]
+        digit, letter = [0], [0]
+        marked = []
+        for s, e in cores:
+            digit.append(digit[-1] + shape.count("9", s, e))
+            n = shape.count("a", s, e) + shape.count("A", s, e)
+            letter.append(letter[-1] + (n if n or text[s:e].isascii() else sum(map(str.isalpha, text[s:e]))))
+            marked.append(s < e and _MARKED.search(text, s, e) is not None)
+        cue = [_CUES.get(text[s:e].lower()) if letter[k + 1] > letter[k] else None for k, (s, e) in enumerate(cores)]
+        number = [False, *(text[s:e].rstrip(",;").isdecimal() for s, e in words), False]
+        bounds, plain = self.shapes, self.plain
+        if len(bounds) > SHAPES:
+            bounds.clear()
+        for i in range(len(words)):
+            s = cores[i][0]
+            if s < words[i][1] and not marked[i]:
+                continue
+            told = any(cue[max(0, i - 3) : i])
+            for j in range(i + 1, min(len(words), i + LONGEST) + 1):
+                if not marked[j - 1] and cores[j - 1][0] < words[j - 1][1]:
+                    continue
+                e = cores[j - 1][1]
+                if not told and marked[i] and marked[j - 1]:
+                    if j - i > 1 and (j - i > 4 or digit[j] - digit[i] > 19 or letter[j] > letter[i]) and text.find("@", s, e) < 0 and shape[s : s + 4] != "AA99":
+                        known = (number[i] or number[j + 1], j - i, _size(digit[j] - digit[i]), letter[j] > letter[i], text[s] == "+")
+                        best = plain.get(known)
+                        if best is None:
+                            best = plain[known] = self._plain_bound(*known)
+                    else:
+                        known = (number[i] or number[j + 1], shape[s:e], j - i)
+                        best = bounds.get(known)
+                        if best is None:
+                            out_, asked = span_features(known[1], j - i)
+                            best = bounds[known] = self.bound(out_ + [ROW] * known[0], asked)
+                    if best <= 0:
+                        continue
+                f = features(text, words, i, j)
+                if f is not None:
+                    out[j].append((i, f))
+        return out
+
+    def decode(self, text: str, words: list[tuple[int, int]], ends: list[list[tuple[int, list[str]]]] | None = None) -> list[tuple[str, int, int]]:
         """Best segmentation: (kind, first word, end word) of its entities."""
-        ends = self.candidates(text, words)
+        ends = self.plausible(text, words) if ends is None else ends
         best, back = [0.0] * (len(words) + 1), [None] * (len(words) + 1)
         for j in range(1, len(words) + 1):
             best[j] = best[j - 1]
@@ -247,7 +340,7 @@ def word_list(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
-def generated(count: int = 1200, seed: int = 4) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def generated(count: int = 1300, seed: int = 4) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Sentences with entities and look-alikes, and the words that each entity covers."""
     rng = np.random.default_rng(seed)
 
@@ -280,17 +373,40 @@ def generated(count: int = 1200, seed: int = 4) -> list[tuple[str, list[tuple[st
         plain = next(f"{head}{k:02d}{body}" for k in range(2, 99) if iban_holds(f"{head}{k:02d}{body}"))
         return plain if rng.random() < 0.5 else " ".join(plain[k : k + 4] for k in range(0, len(plain), 4))
 
+    def hexes(n):
+        return "".join(rng.choice(list("0123456789abcdef"), n))
+
+    def upper_key():
+        return some("AKIA", "ASIA") + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 15)) + some("2", "7", "Q")
+
+    def password():
+        return word(rng.integers(3, 8)).title() * int(rng.random() < 0.5) + word(rng.integers(3, 8)) + digits(rng.integers(1, 5)) + some("", "!", "$")
+
+    def uuid():
+        return "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+
+    def row():
+        """Numbers one after another; of those of four digits some would pass for a card."""
+        if rng.random() < 0.3:
+            full = next(c for c in iter(lambda: digits(16), None) if luhn(c))
+            return " ".join([digits(4) for _ in range(rng.integers(0, 3))] + [full[k : k + 4] for k in range(0, 16, 4)] + [digits(4) for _ in range(rng.integers(1, 3))])
+        size, point = rng.integers(1, 8), some("", "", ",", ".")
+        number = lambda: digits(size if rng.random() < 0.7 else rng.integers(1, 8)) + (point + digits(rng.integers(1, 4)) if point else "")
+        return some(" ", "  ", ", ", "; ").join(number() for _ in range(rng.integers(3, 9)))
+
     make = {
         "email": lambda: f"{word()}{some('', '.' + word(), digits(2))}@{word()}{some('', digits(1))}.{some('com', 'org', 'example.com')}",
         "ip": lambda: ".".join(str(rng.integers(0, some(256, 256, 100, 10))) for _ in range(4)),
         "card": card,
         "phone": phone,
-        "secret": lambda: some("", f'token{some("=", ":")}') + some("", '"') + some("".join(rng.choice(list("0123456789abcdef"), some(32, 40, 64))) + digits(1), key(), some("sk-", "", "ghp_") + letters(rng.integers(24, 60))),
+        "password": lambda: some("password", "passwd", "Password", "pwd", "passphrase") + some(": ", " = ", " is ", " ") + password(),
+        "secret": lambda: upper_key() if rng.random() < 0.2 else some("", f'token{some("=", ":")}') + some("", '"') + some("".join(rng.choice(list("0123456789abcdef"), some(32, 40, 64))) + digits(1), key(), some("sk-", "", "ghp_") + letters(rng.integers(24, 60))),
         "iban": iban,
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
     }
-    cues = {k: [c for c, kind in _CUES.items() if kind == k] for k in make}
+    cues = {k: [c for c, kind in _CUES.items() if kind == k] for k in make if k != "password"}
     plain = (lambda: digits(rng.integers(1, 7)), lambda: str(rng.integers(1900, 2100)), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: word() + digits(2), lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: digits(rng.integers(7, 22)), lambda: f"{digits(3)}.{some('300', '999', '256')}.{digits(2)}.{digits(1)}", lambda: "@" + word() + digits(1), lambda: f"{word()}-{digits(3)}-{word()}", lambda: f"{digits(3)} {digits(3)} {digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: "".join(rng.choice(list("0123456789abcdef"), 8)), lambda: word(12) + digits(1) + word(12), lambda: f"{word()}@{digits(2)}", lambda: word(28), lambda: "-".join(word() for _ in range(6)), lambda: "_".join(word(6) for _ in range(5)), lambda: f"https://{word()}.example/{word()}/{word(9)}-{word(9)}-{word(8)}", lambda: f"{word(4).title()}{word(5).title()}{word(6).title()}{word(7).title()}", lambda: "=" * 30, lambda: f"{digits(2)}-{digits(3)}-{digits(2)}", lambda: f"AB{digits(2)} {digits(4)} {digits(3)}")
+    public = (lambda: some("commit", "Commit", "revision", "tree") + " " + hexes(40), lambda: some("sha256", "SHA256", "checksum", "digest", "sha256 sum") + some(" ", ": ", " = ") + hexes(64), lambda: some("md5", "MD5", "hash", "etag") + some(" ", ": ", " = ") + hexes(32), lambda: some("", "uuid ", "request ") + uuid(), lambda: f"https://{word()}.example/{word()}/{hexes(some(16, 32, 40))}{some('', '.html', '/' + word())}", lambda: f"/{word()}/{word()}/{hexes(32)}/{word()}.txt", row, row, row, lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}.{digits(3)}Z {some('INFO', 'WARN')} {word()}={digits(4)} {word()}={hexes(8)}")
     out = []
     for _ in range(count):
         text, truth = "", []
@@ -298,6 +414,10 @@ def generated(count: int = 1200, seed: int = 4) -> list[tuple[str, list[tuple[st
             text += " ".join(word() for _ in range(rng.integers(0, 5))) + " "
             if rng.random() < 0.55:
                 kind = some(*make)
+                if kind == "password":
+                    text += make[kind]() + some("", ".", ",") + " "
+                    truth.append(("secret", len(word_list(text)) - 1, len(word_list(text))))
+                    continue
                 if rng.random() < 0.3:
                     text += some(*cues[kind]) + some(" ", ": ", " = ")
                 at = len(word_list(text))
@@ -309,7 +429,7 @@ def generated(count: int = 1200, seed: int = 4) -> list[tuple[str, list[tuple[st
                     truth.append((kind, at, len(word_list(text))))
                 text += " "
             else:
-                text += some(*plain)() + some("", "", ".", ",") + " "
+                text += some(*(plain if rng.random() < 0.7 else public))() + some("", "", ".", ",") + " "
         out.append((text, truth))
     return out
 
@@ -364,13 +484,8 @@ def field_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> li
 
 
 def _zone_words(text: str, words: list[tuple[int, int]]) -> list[int]:
-    out, k = [], 0
-    for m in _MARKED.finditer(text):
-        while words[k][1] <= m.start():
-            k += 1
-        if words[k][0] <= m.start() and (not out or out[-1] != k):
-            out.append(k)
-    return out
+    search = _MARKED.search
+    return [k for k, (s, e) in enumerate(words) if search(text, s, e)]
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
