@@ -185,12 +185,12 @@ def features(text: str, words: list[tuple[int, int]], i: int, j: int) -> list[st
     if not ends or not (_MARKED.search(ends[0]) and _MARKED.search(ends[-1])):
         return None
     out, asked = span_features(span, j - i)
-    if any(text[s:e].rstrip(",;").isdecimal() for s, e in (*words[max(0, i - 1) : i], *words[j : j + 1])):
+    if j - i > 1 and any(text[s:e].rstrip(",;").isdecimal() for s, e in (*words[max(0, i - 1) : i], *words[j : j + 1])):
         out.append(ROW)
     return [*out, *(x for yes, no, holds in asked for x in (yes if holds else no)), *cues(text, words, i)]
 
 
-#: Feature of a segment next to a plain number.
+#: Feature of a segment of several words next to a plain number.
 ROW = "in a row"
 #: Letters and digits by kind: spans of one shape differ only in what ``span_features`` asks.
 _SHAPE = {c: "a" if chr(c).islower() else "A" if chr(c).isupper() else "9" for c in range(128) if chr(c).isalnum()}
@@ -263,7 +263,7 @@ class Field:
                         if best is None:
                             best = plain[known] = self._plain_bound(*known)
                     else:
-                        known = (number[i] or number[j + 1], shape[s:e], j - i)
+                        known = (j - i > 1 and (number[i] or number[j + 1]), shape[s:e], j - i)
                         best = bounds.get(known)
                         if best is None:
                             out_, asked = span_features(known[1], j - i)
