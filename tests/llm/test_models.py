@@ -321,6 +321,25 @@ def test_pipeline(spark, duck, sf_dir):
     same(P.run(spark, sf_dir), duck, P.ORACLE_SQL)
 
 
+def test_stages_leave_no_tables_of_the_stages_before(spark, sf_dir):
+    import corpus_pipeline as P
+    from turnloom.llm import storage
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = lambda: {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in storage.made(start)}
+    start = len(storage.made())
+    P.quality_rules(spark, docs, sf_dir)
+    assert "features" in names()
+    kept = P.quality_rules(spark, docs, sf_dir)
+    P.line_dedup(spark, kept, sf_dir)  # reads what the first stage left, so that stays
+    assert names() >= {"features", "chunks"} and kept.count() > 0
+    again = storage.written(kept, "kept")
+    P.line_dedup(spark, again, sf_dir)
+    assert "features" not in names() and {"chunks", "kept"} <= names()
+    out = P.near_duplicates(spark, again, sf_dir)
+    assert names().isdisjoint({"features", "chunks", "line-runs"}) and again.count() >= out.count() > 0
+
+
 def test_pipeline_stages_on_odd_documents(spark, sf_dir):
     import corpus_pipeline as P
 

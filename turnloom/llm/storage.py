@@ -33,9 +33,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs, p = folder(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+    _made.append(path)
     return path
 
 
+#: Folders made so far that have not been deleted, in order.
+_made: list[str] = []
+
+
+def made(since: int = 0) -> list[str]:
+    """The folders made so far that have not been deleted, from the ``since``-th on."""
+    return _made[since:]
+
+
+def delete(spark: SparkSession, paths: list[str], reader: DataFrame) -> bool:
+    """Delete folders, unless ``reader`` reads one of them itself."""
+    names = {path.rsplit("/", 1)[1] for path in paths}
+    if names and any(not names.isdisjoint(file.split("/")) for file in reader.inputFiles()):
+        return False
+    for path in paths:
+        fs, p = folder(spark, path)
+        fs.delete(p, True)
+        if path in _made:
+            _made.remove(path)
+    return True
+
+
 def written(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and lost executors cost no recomputation.
 
@@ -56,5 +79,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads."""
     for df in tables:
         _, path = _paths.pop(id(df))
+        if path in _made:
+            _made.remove(path)
         fs, p = folder(df.sparkSession, path)
         fs.delete(p, True)
