@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.plans import alignment, bayes, captions, evaluation, intervals, live, matching, memory, quarantine, retrieval, reviews, rows, segments, sentences, sequence, splits, ticks, tracklets, vectors
+from turnloom.plans import alignment, bayes, captions, evaluation, index, intervals, live, matching, memory, quarantine, retrieval, reviews, rows, segments, sentences, sequence, splits, ticks, tracklets, vectors
 
 
 def _modules():
-    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks, reviews, segments, alignment, sentences, tracklets, bayes, splits, quarantine]
+    return [intervals, vectors, sequence, retrieval, live, captions, rows, memory, evaluation, matching, ticks, reviews, segments, alignment, sentences, tracklets, bayes, splits, quarantine, index]
 
 
 def queries() -> dict:
