@@ -31,6 +31,15 @@ def test_acquire_hold_switch_clear():
     assert got[4:] == [("S2", "hold", "unknown_debounce"), (None, "clear", "unknown"), (None, "none", "unknown")]
 
 
+def test_totals_are_added_up_as_other_engines_do():
+    """22 / 160 and so on: 83 / 160 is 0.51875, and its fifth digit is rounded by the last bit of the total."""
+    parts = [22 / 160, 49 / 160, 83 / 160, 6 / 160]
+    total = parts[0] + parts[1] + parts[2] + parts[3]
+    got = T.smoothed([dict(zip(("S1", "S2", "S3", "unknown"), parts))], 0.55)
+    assert [got[k] for k in ("S1", "S2", "S3", "unknown")] == [p / total for p in parts]
+    assert int(got["S3"] * 10000 + 0.5) == 5187
+
+
 def test_gates():
     quiet, gate, off = T.Tick(speech=False), T.Tick(release=True), T.Tick(due=False)
     assert walked([sees("S1"), off, quiet, gate, gate, off, quiet]) == [

@@ -56,14 +56,17 @@ class Tick:
 
 
 def smoothed(history: list[dict[str, float]], alpha: float) -> dict[str, float]:
-    """Exponential mean of the maps, oldest first, with a sum of 1; a key that a map lacks counts 0 there."""
-    mean = {}
+    """Exponential mean of the maps, oldest first, with a sum of 1; a key that a map lacks counts 0 there.
+
+    The total is added up key by key: ``sum`` corrects its rounding from Python 3.12 on, which other engines don't.
+    """
+    mean, total = {}, 0.0
     for key in sorted(set().union(*history)):
         first, *later = (max(0.0, m.get(key, 0.0)) for m in history)
         for p in later:
             first = alpha * p + (1.0 - alpha) * first
         mean[key] = first
-    total = sum(mean.values())
+        total += first
     return {k: p / total for k, p in mean.items()} if total > 0 else mean
 
 
