@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.operators import bayes as B
@@ -188,3 +189,22 @@ def test_the_queries_reach_every_branch(spark, sf_dir):
     assert {r.action for r in rows} == {"acquire", "hold", "switch", "clear", "none"}
     loose = plans.provisional_tracker(spark, sf_dir).collect()
     assert Counter(r.reason for r in loose)["provisional_acquire"] > 5 and any(r.expired for r in loose)
+
+
+def test_profiles_meet_the_probes_of_their_session(spark, tmp_path):
+    """Both tables are dealt by session before; of each, adaptive execution merges small partitions by its own sizes."""
+    probes = [(s, 400 * k, True, False, True, [1.0, 0.1], [1.0, 0.1]) for s in range(60) for k in range(40)]
+    spark.createDataFrame(probes, "session_id long, at long, due boolean, release boolean, speech boolean, short array<double>, long array<double>").write.parquet(f"{tmp_path}/probes")
+    dealt = lambda: spark.read.parquet(f"{tmp_path}/probes").withColumn("place", F.row_number().over(W.partitionBy("session_id").orderBy("at")))
+    events = dealt().filter("place = 1").select("session_id", "at", F.lit("A").alias("speaker"), F.lit(1).alias("generation"), F.array(F.lit(1.0), F.lit(0.0)).alias("centroid"), F.lit(2.0).alias("seconds"))
+    out = B.tracked(dealt(), events, "session_id", "at")
+    assert "xxhash64(_session" in out._jdf.queryExecution().executedPlan().toString()
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        assert {r.visible for r in out.collect()} == {"A"}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -62,7 +62,9 @@ def _sessions(rows: DataFrame, others: DataFrame, session: str, columns: str, ma
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
     both = side(others, 0).unionByName(side(rows, 1))
-    return both.repartition("_session").sortWithinPartitions("_session", "_side", "_place", "_label", "_words").mapInArrow(run, out)
+    # Not by _session itself: where both tables are dealt by it, Spark leaves that shuffle out and merges the partitions
+    # of each table by its own sizes, so that the sides of a session may part.
+    return both.repartition(F.xxhash64("_session")).sortWithinPartitions("_session", "_side", "_place", "_label", "_words").mapInArrow(run, out)
 
 
 def _flat(rows: list[Row]) -> tuple[list[str], list[tuple[int, int]]]:

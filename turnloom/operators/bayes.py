@@ -398,4 +398,6 @@ def tracked(probes: DataFrame, events: DataFrame, session: str, at: str, limits:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) for v in c] if pa.types.is_map(t) else list(c), t) for c, t in zip(zip(*found), schema.types)], schema=schema)
 
-    return rows(probes, events, session, at).repartition("_session").sortWithinPartitions("_session", "_at", F.desc("_event"), "_generation", "_speaker", "_due", "_release", "_speech", "_short", "_long").mapInArrow(run, out)
+    # Not by _session itself: where both tables are dealt by it, Spark leaves that shuffle out and merges the partitions
+    # of each table by its own sizes, so that probes and profiles of a session may part.
+    return rows(probes, events, session, at).repartition(F.xxhash64("_session")).sortWithinPartitions("_session", "_at", F.desc("_event"), "_generation", "_speaker", "_due", "_release", "_speech", "_short", "_long").mapInArrow(run, out)

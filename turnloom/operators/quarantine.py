@@ -255,7 +255,8 @@ def _folded(rows: DataFrame, keys: list[str], out: StructType, new: Callable, mo
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), schema.types)], schema=schema)
 
-    return rows.repartition(rows.columns[0]).sortWithinPartitions(*keys).mapInArrow(run, out)
+    # By a hash of the session, as in bayes.tracked: it may be a union of tables that are dealt by session.
+    return rows.repartition(F.xxhash64(rows.columns[0])).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
 def quarantined(probes: DataFrame, events: DataFrame, session: str, at: str, limits: B.Limits = B.Limits(), gate: Gate = Gate()) -> DataFrame:
