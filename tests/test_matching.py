@@ -59,3 +59,29 @@ def test_evidence_of_a_row_is_found_in_it(spark, sf_dir):
         words = re.findall(r"\w+", turns[r.session_id, r.other].lower())
         assert r.matches == M.near_verbatim(words[:2] + words[3:12], re.findall(r"\w+", (texts[r.session_id, r.idx] or "").lower()))
     assert any(r.matches for r in out) and not all(r.matches for r in out)
+
+
+def test_near_verbatim_compares_few_windows_and_loses_none(monkeypatch):
+    from difflib import SequenceMatcher
+
+    def plain(evidence, said):
+        whole, n = " ".join(evidence), len(evidence)
+        parts = [said[i : i + k] for k in range(max(1, n - 2), n + 3) for i in range(len(said) - k + 1)] if n >= 3 else []
+        near = lambda p: len(set(evidence) & set(p)) >= 0.75 * len(set(evidence)) or SequenceMatcher(None, whole, " ".join(p)).ratio() >= 0.82
+        return bool(evidence and said) and (whole in " ".join(said) or any(map(near, parts)))
+
+    rng, found = random.Random(2), [0, 0]
+    for _ in range(400):
+        known = ["".join(rng.choice("abcde\u00e9") for _ in range(rng.choice([0, 1, 2, 3, 6]))) for _ in range(rng.choice([3, 30]))]
+        said = [rng.choice(known) for _ in range(rng.randrange(25))]
+        evidence = said[3 : 3 + rng.randrange(14)]
+        for _ in range(rng.randrange(6) if evidence else 0):
+            evidence[rng.randrange(len(evidence))] = rng.choice(known) + rng.choice("abc")
+        want = plain(evidence, said)
+        assert M.near_verbatim(evidence, said) == want
+        found[want] += 1
+    assert min(found) > 100
+    calls = []
+    monkeypatch.setattr(M, "SequenceMatcher", lambda *a: calls.append(a) or SequenceMatcher(*a))
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(411)]
+    assert not M.near_verbatim(words[:11], words[11:]) and len(calls) < 20
