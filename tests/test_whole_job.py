@@ -1,12 +1,13 @@
 """Cases at the edges where operators once did less than the whole job."""
 
 import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators import reports, retrieval
+from turnloom.operators import reports, retrieval, vectors
 from turnloom.plans import registry
 from turnloom.plans import retrieval as plans
 from turnloom.plans import sequence
@@ -78,3 +79,53 @@ def test_a_long_session_is_packed_from_batches(spark):
 def test_greedy_map_is_registered_and_one_to_one(spark, sf_dir):
     rows = registry.queries()["greedy_map"](spark, sf_dir).collect()
     assert rows and len(rows) == len({(r.session_id, r.profile) for r in rows}) == len({(r.session_id, r.truth) for r in rows})
+
+
+def test_nearest_by_brute_force(spark):
+    """Ties, copies, nulls, NaN, zero vectors and other lengths; rows are streamed, no task gets a table of pairs."""
+    rng = random.Random(8)
+    made = [(k, [float(rng.randrange(-2, 3)) for _ in range(4)]) for k in range(300)]
+    odd = [(900, None), (901, [1.0, None, 1.0, 1.0]), (902, [0.0] * 4), (903, [1.0, 2.0]), (904, [float("nan")] * 4), (None, [1.0] * 4)]
+    df = spark.createDataFrame(made + odd, "id long, v array<double>").repartition(3)
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        if None in a or None in b:
+            return 0.0
+        total, aa, bb = 0.0, 0.0, 0.0
+        for x, y in zip(a, b):
+            total, aa, bb = total + x * y, aa + x * x, bb + y * y
+        n = math.sqrt(aa) * math.sqrt(bb)
+        return 0.0 if n <= 0 else total / n
+
+    def order(c):
+        return (0, 0.0) if c[1] is None else (2, 0.0) if math.isnan(c[1]) else (1, c[1])
+
+    queries = df.filter("id % 50 = 0 OR id IN (902, 904)")
+    got = {}
+    for r in vectors.nearest(queries, df, 7, "id", "id", "v").collect():
+        got.setdefault(r.query, []).append((r.place, r.match, r.similarity))
+    rows = [r for r in made + odd if r[0] is not None]
+    for q, v in rows:
+        if q % 50 and q not in (902, 904):
+            continue
+        ranked = sorted(((m, cosine(v, w)) for m, w in rows if m != q), key=lambda c: (-order(c)[0], -order(c)[1], c[0]))[:7]
+        assert [(m, repr(s)) for _, m, s in sorted(got.pop(q))] == [(m, repr(s)) for m, s in ranked]
+    assert not got
+    assert "NestedLoop" not in vectors.nearest(queries, df, 7, "id", "id", "v")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_vectors_shuffle_no_tokens(spark):
+    rows = [(1, ["a", "b", "a"]), (1, ["c"]), (2, []), (3, None), (4, ["\u00e9", "b"])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    want = {}
+    for k, tokens in rows:
+        for t in tokens or ():
+            d = hashlib.sha256(t.encode()).digest()
+            want.setdefault(k, [0.0] * 64)[d[0] % 64] += -1.0 if d[2] % 2 else 1.0
+    out = retrieval.hashed_vectors(df, "k", "tokens")
+    for r in out.collect():
+        norm = math.sqrt(sum(x * x for x in want[r.k]))
+        assert r.embedding == [x / norm for x in want.pop(r.k)]
+    assert not want and "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
