@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from turnloom.operators import sentences as S
+from turnloom.plans import sentences as plans
 from turnloom.streaming import sentences as stream
 
 WORDS = "array<struct<text:string,start_ms:long,end_ms:long>>"
@@ -149,3 +150,7 @@ def test_groups_of_words(spark):
     parts = S.transcript_parts(df, ["k"]).collect()
     assert all(0 <= p.start_ms < p.end_ms <= 4000 and p.words > 0 for p in parts) and {p.k for p in parts} == {r[0] for r in rows if any(t.strip() and s < 4000 and e > s for t, s, e in r[2] or [])}
     assert S.transcript_parts(df.limit(0), ["k"]).count() == 0
+
+
+def test_no_table_of_words_is_broadcast(spark, sf_dir):
+    assert "Broadcast" not in plans.windows(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

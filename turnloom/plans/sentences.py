@@ -30,7 +30,7 @@ def windows(spark, sf_dir):
     grid = grid.select("session_id", "place", F.when(F.col("place") == F.col("last"), F.col("end")).otherwise(EVERY * F.col("place")).alias("right_ms"), ((F.col("place") == F.col("last")) | ((F.col("session_id") + F.col("place")) % 7 == 3)).alias("flush"))
     low, high = F.floor(F.col("start_ms") / EVERY) + 1, F.floor((F.col("start_ms") + REACH) / EVERY)
     heard = words.select("session_id", "text", "start_ms", "end_ms", F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("place"))
-    met = grid.join(heard, ["session_id", "place"], "left")
+    met = grid.join(heard.hint("merge"), ["session_id", "place"], "left")  # words in all their windows are far more than the file's size tells
     cut = F.col("end_ms") > F.col("right_ms")
     word = F.struct(F.col("start_ms"), F.least("end_ms", "right_ms").alias("end_ms"), F.when(cut, F.substring("text", F.lit(1), F.floor((F.length("text") + 1) / 2).cast("int"))).otherwise(F.col("text")).alias("text"))
     return met.groupBy("session_id", "place", "right_ms", "flush").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull() & (F.col("start_ms") < F.col("right_ms")), word))).alias("words"))
