@@ -1,5 +1,6 @@
 """Every query outside the optional subpackage against its SQL in DuckDB, and hand-made cases."""
 
+import datetime as dt
 import math
 
 import duckdb
@@ -97,3 +98,21 @@ def test_promotional_outro(spark):
     nulls = spark.createDataFrame([(None, 0, "A", talk, 6000, "x"), (None, 1, "B", ad, 5, "x"), (2, 0, "B", ad, 5, "x")], schema).drop("outro")
     assert [tuple(r)[-2:] for r in sequence.promotional_outro(nulls, "session_id", speech.promotional(F.col("text"))).orderBy("session_id", "idx").collect()] == [(False, "A"), (True, "A"), (False, "B")]
     assert sequence.promotional_outro(nulls.limit(0), "session_id", speech.promotional(F.col("text"))).count() == 0
+
+
+def test_ticks_that_are_not_shown(spark, tmp_path):
+    """Holds of nothing, of null and below 0 give no slice, so no profile is known by them; a turn without a name wins no tie."""
+    turns = [(1, 0, "user", 25), (2, 0, "user", 15), (3, 0, None, 25), (3, 1, "user", 25), (4, 0, "user", 25)]
+    values = {1: [0.0, 4.0], 2: [None, 4.0], 3: [4.0, 0.0, None, 0.0, 0.0, 0.0, 4.0], 4: [-3.0, 4.0]}
+    events = [(10 * s + k, dt.datetime(2024, 1, 1, 0, 0, k), s, "view", v) for s, row in values.items() for k, v in enumerate(row)]
+    spark.createDataFrame([(s, k, role, "x" * n) for s, k, role, n in turns], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    known = registry.queries()["profile_availability"](spark, str(tmp_path)).collect()
+    assert {(r.session_id, r.idx): r.availability for r in known} == {(1, 0): "becomes_known_during_turn", (2, 0): "never", (3, 0): "never", (3, 1): "known_at_turn_start", (4, 0): "becomes_known_during_turn"}
+    con = duckdb.connect()
+    for t in ("conversations", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("profile_availability", "profile_map", "merged_speech", "missed_speech", "session_scorecard", "atomic_speakers"):
+        want = con.execute(registry.oracle_sql()[name])
+        got = registry.queries()[name](spark, str(tmp_path)).select(*(d[0] for d in want.description))
+        assert sorted("|".join(map(plain, r)) for r in got.collect()) == sorted("|".join(map(plain, r)) for r in want.fetchall()), name

@@ -16,8 +16,8 @@ def overlap_matrix(overlaps: DataFrame, key: str = "session_id") -> DataFrame:
 
 
 def profile_map(matrix: DataFrame, key: str = "session_id") -> DataFrame:
-    """Each profile's speaker with most overlap, the smaller name on a tie; several profiles may share a speaker."""
-    best = matrix.groupBy(key, "profile").agg(F.min(F.struct((-F.col("overlap_ms")).alias("o"), "truth")).alias("b"))
+    """Each profile's speaker with most overlap, the smaller name on a tie, none last; several profiles may share a speaker."""
+    best = matrix.groupBy(key, "profile").agg(F.min(F.struct((-F.col("overlap_ms")).alias("o"), F.isnull("truth").alias("unnamed"), "truth")).alias("b"))
     return best.select(key, "profile", F.col("b.truth").alias("truth"), (-F.col("b.o")).alias("overlap_ms"))
 
 

@@ -17,10 +17,15 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "turns")
 
 
-def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks as intervals: each visible for its hold, 400 ms at most."""
     p = frame(spark, sf_dir, "probes")
-    return p.select("session_id", "event_id", F.col("speaker").alias("profile"), F.col("tick_ms").alias("start_ms"), (F.col("tick_ms") + F.least("hold_ms", F.lit(VISIBLE_MS))).alias("end_ms"))
+    return p.select("session_id", "event_id", F.col("speaker").alias("profile"), F.col("tick_ms").alias("start_ms"), (F.col("tick_ms") + F.least("hold_ms", F.lit(VISIBLE_MS))).alias("end_ms"), "hold_ms")
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks that are visible at all; one without a hold isn't, though ``least`` skips its null and gives it 400 ms."""
+    return _ticks(spark, sf_dir).filter("hold_ms > 0").drop("hold_ms")
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +181,7 @@ def bucketed_overlap(spark, sf_dir):
 
 
 def atomic_speakers(spark, sf_dir):
-    s = _slices(spark, sf_dir).select("session_id", F.col("profile").alias("speaker"), "start_ms", (F.col("end_ms") + 900).alias("end_ms"))
+    s = _ticks(spark, sf_dir).select("session_id", F.col("profile").alias("speaker"), "start_ms", (F.col("end_ms") + 900).alias("end_ms"))
     return I.atomic_slices(s, "session_id")
 
 
