@@ -1,7 +1,16 @@
 """The session index: upserts, deletions and snapshots against an index built anew. Two queries are held against SQL."""
 
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from turnloom.functions.numbers import quantized
+from turnloom.operators import retrieval, vectors
 from turnloom.sources.index import SessionIndex, listed_sessions, scratch_index
 
 SCHEMA = "session_id long, ordinal long, title string, speaker string, text string, version string"
@@ -83,3 +92,66 @@ def test_session_list(spark):
     assert titles() == ["Plan A", "Plan B", None] and titles("archived") == ["Old plan"] and titles("all", "PLAN 01-") == ["Plan A", "Old plan"]
     assert titles("active", "ann") == ["Plan A"] and titles("active", "plan zed") == [] and titles("other") == titles("all")
     assert listed_sessions(df.limit(0)).count() == 0
+
+
+def search_by_hand(rows, questions, k):
+    """The k best of rows {chunk_id: (title, speaker, text)} for each question (query, text), pair by pair."""
+    words = {c: re.findall(r"[\w'-]+", (r[2] or "").lower()) for c, r in rows.items()}
+    held = Counter(t for ts in words.values() for t in set(ts))
+    mean = sum(map(len, words.values())) / len(rows)
+
+    def vector(tokens):
+        v = [0.0] * 64
+        for t in tokens:
+            d = hashlib.sha256(t.encode()).digest()
+            v[d[0] % 64] += -1.0 if d[2] % 2 else 1.0
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n if n else 0.0 for x in v]
+
+    def bm25(asked, tokens):
+        s, tf = 0.0, Counter(tokens)
+        for t in sorted(asked & tf.keys()):
+            s += math.log(1 + (len(rows) - held[t] + 0.5) / (held[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(tokens) / max(1.0, mean)))
+        return s
+
+    rounded = lambda x, digits: math.floor(x * 10**digits + 0.5) / 10**digits
+    vectors, out = {c: vector(ts) for c, ts in words.items()}, []
+    for query, text in questions:
+        tokens, points = re.findall(r"[\w'-]+", (text or "").lower()), Counter()
+        lexical = {c: s for c, ts in words.items() if (s := bm25(set(tokens), ts)) > 0}
+        near = {c: sum(x * y for x, y in zip(vector(tokens), v)) for c, v in vectors.items()} if tokens else {}
+        for scores in (lexical, near):
+            for place, c in enumerate(sorted(scores, key=lambda c: (-rounded(scores[c], 6), c))[:30], 1):
+                points[c] += 1 / (60 + place)
+        for c, names in rows.items():
+            points[c] += sum(0.04 for name, n in zip(names, (4, 3)) if name and len(name) >= n and name.lower() in (text or "").lower())
+        best = sorted(((-rounded(s, 9), c) for c, s in points.items() if s), key=lambda x: x)[:k]
+        out += [(query, c, -s) for s, c in best]
+    return sorted(out)
+
+
+def test_search_by_hand_with_long_sessions_and_equal_rows(spark, monkeypatch):
+    """Of a long session the rows of a named speaker lead, however late they come; rows and questions come in several blocks."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 11)
+    rng = random.Random(3)
+    said = [" ".join(rng.choice("plan release late money lunch of the a ü it's".split()) for _ in range(rng.randrange(9))) for _ in range(9)] + [None, "?!"]
+    rows = [(s, n, None if s == 3 else f"Talk {s}", rng.choice(["Ann", None, "Al"]) if (s, n) < (0, 80) else "Bob", rng.choice(said)) for s in range(4) for n in range(90 if s == 0 else 20)]
+    index = SessionIndex(spark, scratch_index(spark, "t"))
+    index.upsert(chunks(spark, rows))
+    questions = [(k, t) for k, t in enumerate(["the late plan", "talk 0 by bob", "Talk 0: al and ann", "lunch, bob?", None, "", "zzz", "ü of talk 1 and TALK 2", *said])]
+    got = index.search(spark.range(5).withColumnRenamed("id", "session_id"), spark.createDataFrame(questions, "query long, text string"), 4)
+    held = {f"{s}#{n}": (title, who, text) for s, n, title, who, text in rows}
+    assert sorted(map(tuple, got.collect())) == search_by_hand(held, questions, 4)
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_words_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    rng = random.Random(4)
+    made = [(f"r{k}", [f"w{int(rng.random() ** 3 * 60)}" for _ in range(rng.randrange(12))]) for k in range(500)] + [("n", [None, "w1"]), (None, ["w1"])]
+    asked = [(k, [f"w{int(rng.random() ** 2 * 80)}" for _ in range(rng.randrange(8))]) for k in range(30)] + [(40, ["w0", "w0"]), (41, []), (42, ["none"])]
+    rows, questions = spark.createDataFrame(made, "id string, tokens array<string>").filter("id IS NOT NULL"), spark.createDataFrame(asked, "q long, tokens array<string>")
+    scored = retrieval.bm25(rows, "id", "tokens", questions, "q", "tokens").withColumn("score", quantized(F.col("score")))
+    want = sorted(map(tuple, retrieval.top(scored, 7, "id").select("query", "id", "score", "place").collect()))
+    assert sorted(map(tuple, retrieval.bm25_top(rows, "id", "tokens", questions, "q", "tokens", 7).select("query", "id", "score", "place").collect())) == want

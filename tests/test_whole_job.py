@@ -116,6 +116,30 @@ def test_nearest_by_brute_force(spark):
     assert "NestedLoop" not in vectors.nearest(queries, df, 7, "id", "id", "v")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_by_brute_force_with_ties(spark, monkeypatch):
+    """Vectors of one length are first compared by a matrix product; places are those of exact sums."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    rng = random.Random(9)
+    made = [(k, [rng.choice([0.0, 0.1, 0.2, -0.3]) * rng.choice([1, 3]) for _ in range(5)]) for k in range(900)]
+    df = spark.createDataFrame(made, "id long, v array<double>").repartition(3)
+
+    def cosine(a, b, digits):
+        total, aa, bb = 0.0, 0.0, 0.0
+        for x, y in zip(a, b):
+            total, aa, bb = total + x * y, aa + x * x, bb + y * y
+        n = math.sqrt(aa) * math.sqrt(bb)
+        s = 0.0 if n <= 0 else total / n
+        return s if digits is None else math.floor(s * 10.0**digits + 0.5) / 10.0**digits
+
+    for digits in (None, 2, 6):
+        got = sorted((r.query, r.place, r.match, r.similarity) for r in vectors.nearest(df.filter("id % 20 = 0"), df, 9, "id", "id", "v", digits).collect())
+        want = []
+        for q, v in made[::20]:
+            ranked = sorted((-cosine(v, w, digits), m) for m, w in made if m != q)[:9]
+            want += [(q, n, m, -s) for n, (s, m) in enumerate(ranked, 1)]
+        assert got == want
+
+
 def test_hashed_vectors_shuffle_no_tokens(spark):
     rows = [(1, ["a", "b", "a"]), (1, ["c"]), (2, []), (3, None), (4, ["\u00e9", "b"])]
     df = spark.createDataFrame(rows, "k long, tokens array<string>")

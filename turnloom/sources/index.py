@@ -39,6 +39,15 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in a scratch folder, so that they are made once; as they are if no folder is shared."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return df
+    df.write.parquet(path := f"{scratch_index(spark, 'search')}/rows")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class SessionIndex:
     """Chunks of sessions with their hashes and vectors, for one writer at a time and any number of readers.
 
@@ -141,13 +150,14 @@ class SessionIndex:
         body = self.chunks().filter(F.col("identity") == self.identity).join(sessions.select("session_id").distinct(), "session_id", "left_semi")
         words = body.select("chunk_id", T.unicode_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
         asked = questions.select("query", "text", T.unicode_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-        lexical = retrieval.top(retrieval.bm25(words, "chunk_id", "tokens", asked, "query", "tokens").withColumn("score", quantized(F.col("score"))), 30, "chunk_id")
+        lexical = retrieval.bm25_top(words, "chunk_id", "tokens", asked, "query", "tokens", 30)
         vectors = retrieval.hashed_vectors(asked, "query", "tokens").select(F.concat(F.lit("?"), F.col("query").cast("string")).alias("query"), "embedding")
         near = V.nearest(vectors, body.select("chunk_id", "embedding"), 30, "query", "chunk_id", digits=6)
-        near = near.select(F.substring("query", 2, 100).cast(questions.schema["query"].dataType).alias("query"), F.col("match").alias("chunk_id"), "place")
-        listed = near.select("query", "chunk_id").unionByName(lexical.select("query", "chunk_id"))
-        bonus = [retrieval.title_bonus(asked, body, "query", "text", "chunk_id", c, listed, k, least=n) for c, n in (("title", 4), ("speaker", 3))]
-        scored = retrieval.fused(near, lexical, "chunk_id", bonus=bonus[0].unionByName(bonus[1]))
+        near = near.select(F.expr("substring(query, 2)").cast(questions.schema["query"].dataType).alias("query"), F.col("match").alias("chunk_id"), "place")
+        lists = _written(near.withColumn("near", F.lit(True)).unionByName(lexical.select("query", "chunk_id", "place", F.lit(False).alias("near"))))
+        named = {c: _written(retrieval.named_titles(asked, body.select(F.col(c).alias("title")), n)) for c, n in (("title", 4), ("speaker", 3))}
+        bonus = retrieval.title_bonuses(named, body, "chunk_id", lists, k)
+        scored = retrieval.fused(lists.filter("near"), lists.filter("NOT near"), "chunk_id", bonus=bonus)
         return retrieval.top(scored.withColumn("score", quantized(F.col("score"), 9)), k, "chunk_id").select("query", "chunk_id", "score")
 
 
