@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.numbers import quantized
 from turnloom.operators import retrieval, vectors
+from turnloom.plans import index as plans
 from turnloom.sources.index import SessionIndex, listed_sessions, scratch_index
 
 SCHEMA = "session_id long, ordinal long, title string, speaker string, text string, version string"
@@ -130,6 +131,15 @@ def search_by_hand(rows, questions, k):
     return sorted(out)
 
 
+def test_search_query_asks_every_row(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    rows = {f"{r.conv_id}#{r.turn}": (f"Meeting {r.conv_id}", r.role, r.text) for r in turns}
+    questions = [(f"{r.conv_id}#{r.turn}", r.text + (" meeting 4, assistant" if r.conv_id % 3 == 0 else "")) for r in turns if (r.conv_id * 100 + r.turn) % 50 == 0]
+    got = sorted(map(tuple, plans.index_search(spark, sf_dir).collect()))
+    assert got == search_by_hand(rows, questions, 10)
+    assert {c for _, c, _ in got} & {c for c in rows if int(c.split("#")[0]) % 2}
+
+
 def test_search_by_hand_with_long_sessions_and_equal_rows(spark, monkeypatch):
     """Of a long session the rows of a named speaker lead, however late they come; rows and questions come in several blocks."""
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)

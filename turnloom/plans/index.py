@@ -34,10 +34,16 @@ def index_chunks(spark, sf_dir):
 
 
 def index_search(spark, sf_dir):
-    """The ten best chunks of the even sessions for the first words of each fifth turn of the users."""
-    index = _changed(spark, sf_dir)
-    questions = run_sql(spark, sf_dir, "SELECT session_id * 100 + idx AS query, CONCAT(SUBSTRING(text, 1, 60), CASE WHEN session_id % 3 = 0 THEN ' meeting 4, assistant' ELSE '' END) AS text FROM turns WHERE (session_id * 100 + idx) % 50 = 0")
-    return index.search(run_sql(spark, sf_dir, "SELECT session_id FROM turns WHERE session_id % 2 = 0"), questions, 10)
+    """The ten best chunks of all sessions for the text of each row whose number, session_id * 100 + idx, is divisible by 50.
+
+    The index has had a first load and a deletion, and was then given all rows. ``query`` is the chunk of the row that asks.
+    """
+    index = X.SessionIndex(spark, X.scratch_index(spark, "session-index"))
+    index.upsert(run_sql(spark, sf_dir, _FIRST))
+    index.delete(run_sql(spark, sf_dir, _GONE))
+    index.upsert(run_sql(spark, sf_dir, f"SELECT {_TITLED}, text FROM turns"))
+    questions = run_sql(spark, sf_dir, "SELECT CONCAT(CAST(session_id AS VARCHAR(20)), '#', CAST(idx AS VARCHAR(20))) AS query, CONCAT(text, CASE WHEN session_id % 3 = 0 THEN ' meeting 4, assistant' ELSE '' END) AS text FROM turns WHERE (session_id * 100 + idx) % 50 = 0")
+    return index.search(run_sql(spark, sf_dir, "SELECT session_id FROM turns"), questions, 10)
 
 
 #: Sessions with dates and the names of who spoke.
